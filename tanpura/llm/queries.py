@@ -7,14 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tanpura.llm import bpe, grace, mixing
+from tanpura.llm import bpe, grace, mixing, omh, quality, tokenscan, toxicity
 from tanpura.llm.common import stored
 
 
+#: Categories of toxicity in the order of the chain: abuse in good text, abuse in poor text, any.
+TOXIC = ["toxic_in_good", "toxic_in_poor", "toxic_any"]
+
+
+def toxic_categories(labels: DataFrame) -> DataFrame:
+    """The chain's categories from the labels quality and toxic."""
+    toxic, good = F.col("toxic") == 1, F.col("quality") == 1
+    return labels.select("doc_id", (toxic & good).cast("int").alias(TOXIC[0]), (toxic & ~good).cast("int").alias(TOXIC[1]), toxic.cast("int").alias(TOXIC[2]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.decode(bpe.encode(docs))).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -24,14 +38,30 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chars")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, toxicity.fit_chain(docs, toxic_categories(table(spark, sf_dir, "labels")), TOXIC))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenscan.token_counts(tokenscan.flat_blocks(table(spark, sf_dir, "documents")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = stored(docs.select("doc_id", "source", mixing.size_of().alias("size")), "mix-sizes")
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stored(quality.with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text")), "quality-statistics")
+    model = quality.fit(quality.labelled(stats, table(spark, sf_dir, "labels")))
+    rated = quality.scored(stats, model)
+    return rated.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_bpe, op3_exact_dedup, op9_mixing]
+    found = [op1_order_minhash, op2_bpe, op3_exact_dedup, op7_toxicity, op8_token_counts, op9_mixing, op10_quality]
     return {f.__name__: f for f in found}
 
 
