@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tanpura.llm import bpe, grace, mixing, omh, quality, tokenscan, toxicity
+from tanpura.llm import bpe, grace, lineblocks, mixing, omh, probminhash, quality, tokenscan, toxicity
 from tanpura.llm.common import stored
 
 
@@ -38,6 +38,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chars")
 
 
+def op5_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
+def op6_lineblocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineblocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.toxicity(docs, toxicity.fit_chain(docs, toxic_categories(table(spark, sf_dir, "labels")), TOXIC))
@@ -61,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_order_minhash, op2_bpe, op3_exact_dedup, op7_toxicity, op8_token_counts, op9_mixing, op10_quality]
+    found = [op1_order_minhash, op2_bpe, op3_exact_dedup, op5_probminhash, op6_lineblocks, op7_toxicity, op8_token_counts, op9_mixing, op10_quality]
     return {f.__name__: f for f in found}
 
 
