@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tanpura.llm import bpe, grace, lineblocks, mixing, omh, probminhash, quality, tokenscan, toxicity
+from tanpura.llm import bpe, grace, lineblocks, mixing, omh, probminhash, quality, repeats, tokenscan, toxicity
 from tanpura.llm.common import stored
 
 
@@ -38,6 +38,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace.exact_duplicates(table(spark, sf_dir, "documents")).drop("n_chars")
 
 
+def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("spans", "kept")
+
+
 def op5_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
 
@@ -69,7 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_order_minhash, op2_bpe, op3_exact_dedup, op5_probminhash, op6_lineblocks, op7_toxicity, op8_token_counts, op9_mixing, op10_quality]
+    found = [op1_order_minhash, op2_bpe, op3_exact_dedup, op4_suffix_arrays, op5_probminhash, op6_lineblocks, op7_toxicity, op8_token_counts, op9_mixing, op10_quality]
     return {f.__name__: f for f in found}
 
 
