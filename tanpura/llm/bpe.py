@@ -13,10 +13,12 @@ gives an empty table; other columns pass through, and an input column named as a
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -37,6 +39,32 @@ def byte_table() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Slices:
+    """Short runs of numbers kept in one flat array, to be strung together by their numbers."""
+
+    def __init__(self, kind: type):
+        self.flat, self.starts, self.lengths = np.empty(1 << 10, kind), np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int64)
+        self.n = self.used = 0
+
+    def extend(self, runs: Sequence[Sequence[int]]) -> None:
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+        values = np.fromiter(itertools.chain.from_iterable(runs), self.flat.dtype, int(lengths.sum()))
+        while self.used + len(values) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.n + len(runs) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
+        self.flat[self.used : self.used + len(values)] = values
+        self.starts[self.n : self.n + len(runs)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.n : self.n + len(runs)] = lengths
+        self.n, self.used = self.n + len(runs), self.used + len(values)
+
+    def strung(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of these numbers one after the other, and where each ends, from 0 on."""
+        lengths = self.lengths[numbers]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        return self.flat[np.repeat(self.starts[numbers] - ends[:-1], lengths) + np.arange(ends[-1])], ends
+
+
 class ByteBPE:
     """A tokenizer file with its pattern, its ids as bytes, and a memo of encoded pieces."""
 
@@ -51,40 +79,44 @@ class ByteBPE:
         to_byte = {c: b for b, c in byte_table().items()}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         added = {a["id"] for a in json.loads(self.tokenizer.to_str())["added_tokens"]}
-        self.bytes_of = [b""] * (1 + max(vocabulary.values()))
+        bytes_of = [b""] * (1 + max(vocabulary.values()))
         for token, i in vocabulary.items():
-            self.bytes_of[i] = token.encode() if i in added else bytes(to_byte[c] for c in token)
-        self.memo: dict[str, list[int]] = {}
-
-    def encode(self, texts: Sequence[str]) -> list[list[int]]:
+            bytes_of[i] = token.encode() if i in added else bytes(to_byte[c] for c in token)
+        self.bytes = Slices(np.uint8)
+        self.bytes.extend(bytes_of)
+        self.begun = np.array([sum(b & 0xC0 != 0x80 for b in x) for x in bytes_of])
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.tokens = Slices(np.int32)
+
+    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids one after the other, and where each text ends, from 0 on."""
         pieces = [self.pattern.findall(t) for t in texts]
         if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
+            self.forget()
         memo = self.memo
-        new = list({p for ps in pieces for p in ps if p not in memo})
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[piece] = found.ids
-        return [[i for p in ps for i in memo[p]] for ps in pieces]
-
-    def byte_offsets(self, ids: Sequence[int]) -> list[int]:
-        """Where each token starts, and where the last one ends."""
-        out, at = [0], 0
-        for i in ids:
-            at += len(self.bytes_of[i])
-            out.append(at)
-        return out
-
-    def char_offsets(self, ids: Sequence[int]) -> list[int]:
-        """Characters that begin before each token's start, and their number."""
-        out, at = [0], 0
-        for i in ids:
-            at += sum(b & 0xC0 != 0x80 for b in self.bytes_of[i])
-            out.append(at)
-        return out
-
-    def decode(self, ids: Sequence[int]) -> bytes:
-        of = self.bytes_of
-        return b"".join([of[i] for i in ids])
+        if new := list(set().union(*pieces).difference(memo)):
+            self.tokens.extend([x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+            memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
+        counts = [0, *itertools.accumulate(map(len, pieces))]
+        numbers = np.fromiter(map(memo.__getitem__, itertools.chain.from_iterable(pieces)), np.int64, counts[-1])
+        ids, ends = self.tokens.strung(numbers)
+        return ids, ends[counts]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of texts that are given as by encode, likewise."""
+        raw, stops = self.bytes.strung(ids)
+        return raw, stops[ends]
+
+    def offsets(self, ids: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each text: where its tokens start in bytes, and how many characters begin before that; last, its ends."""
+        made = []
+        for per in (self.bytes.lengths[ids], self.begun[ids]):
+            upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(per)])
+            made.append([upto[a : b + 1] - upto[a] for a, b in itertools.pairwise(ends)])
+        return made[0], made[1]
 
 
 @functools.lru_cache(maxsize=2)
@@ -122,9 +154,10 @@ def encode(df: DataFrame, text: str = "text", vocabulary: tuple[str, str] | None
         bpe = loaded(path, pattern)
         for batch in batches:
             for part, values in groups(batch, "__text"):
-                ids = bpe.encode([v.decode("utf-8", "replace") for v in values])
-                made = [ids, *([list(map(bpe.byte_offsets, ids)), list(map(bpe.char_offsets, ids))] if offsets else [])]
-                yield pa.record_batch([*(part.column(c) for c in others), *(pa.array(m, pa.list_(pa.int32())) for m in made)], names=[*others, *outs])
+                ids, ends = bpe.encode([v.decode("utf-8", "replace") for v in values])
+                made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
+                made += [pa.array(m, pa.list_(pa.int32())) for m in (bpe.offsets(ids, ends) if offsets else ())]
+                yield pa.record_batch([*(part.column(c) for c in others), *made], names=[*others, *outs])
 
     return df.select(*others, text_bytes(text).alias("__text")).mapInArrow(run, schema)
 
@@ -139,8 +172,11 @@ def decode(df: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         for batch in batches:
-            made = [bpe.decode(ids or ()) for ids in batch.column("token_ids").to_pylist()]
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(made, pa.binary())], names=[*names, "decoded"])
+            lists = batch.column("token_ids")
+            ids, ends = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]).astype(np.int64)
+            raw, stops = bpe.decode(ids, ends)
+            made = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(raw)])
+            yield pa.record_batch([*(batch.column(c) for c in names), made], names=[*names, "decoded"])
 
     return df.select(names).mapInArrow(run, schema)
 

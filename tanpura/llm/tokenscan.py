@@ -53,11 +53,10 @@ def flat_blocks(docs: DataFrame, vocabulary: tuple[str, str] | None = None, sepa
 
         for batch in batches:
             for part, values in bpe.groups(batch, "text"):
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), coder.encode([v.decode("utf-8", "replace") for v in values]), strict=True):
-                    ids.append(separator)
-                    rest.append(np.array(ids, np.uint16))
-                    labels.append(doc_id)
-                    held += len(ids)
+                ids, ends = coder.encode([v.decode("utf-8", "replace") for v in values])
+                rest.append(np.insert(ids.astype(np.uint16), ends[1:], separator))
+                labels.extend(part.column("doc_id").to_pylist())
+                held += len(rest[-1])
                 if held >= block_tokens:
                     yield from cut(last=False)
         yield from cut(last=True)
