@@ -4,29 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tanpura.llm import bpe, grace, mixing
+from tanpura.llm import bpe, grace, mixing, probminhash, quality
 from tanpura.llm.common import stored
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return grace.drop_exact_duplicates(docs)
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near-duplicates stays."""
+    return probminhash.drop_near_duplicates(docs)
+
+
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each time that a document is taken."""
+    """The mix: a row for each time that a document is taken, or its first words where it is taken in part."""
     return mixing.mixed_rows(docs)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's tokens, and the digests of its ids and of what they decode to."""
-    made = bpe.digests(bpe.decode(bpe.encode(docs)))
+    made = bpe.digests(bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"))))
     return made.select("doc_id", "lang", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("exact dedup", exact_dedup), ("mixing sources to target weights", mixing_to_weights), ("byte-level BPE", byte_level_bpe)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_dedup),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("mixing sources to target weights", mixing_to_weights),
+    ("byte-level BPE encoding and decoding", byte_level_bpe),
+]
 
-#: No stage of a trained classifier or of sketches can be said in SQL; tests/llm holds the pipeline against brute force.
+#: A trained classifier, sketches and BPE can't be said in SQL; tests/llm holds the pipeline against brute force.
 ORACLE_SQL = None
 
 

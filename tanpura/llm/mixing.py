@@ -156,8 +156,11 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0, sized: DataFrame |
 
 
 def mixed_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """The mix: docs' columns, a row for each time that a document is taken; a part has the text's first words."""
+    """The mix: docs' columns, a row for each time that a document is taken; a part has the text's first words (and their n_chars)."""
     drawn = mix(docs, shards, seed).withColumn("__draw", F.explode("draws"))
     words = F.col("__draw.words")
-    first = F.array_join(F.slice(F.split(F.trim(F.col("text")), r"[\x20\x09-\x0D]+"), F.lit(1), words.cast("int")), " ")
-    return drawn.withColumn("text", F.when(words < F.col("size"), first).otherwise(F.col("text"))).select(*docs.columns)
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORDS})"), 1), F.lit(1), words.cast("int")), " ")
+    made = drawn.withColumn("text", F.when(words < F.col("size"), first).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.when(words < F.col("size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return made.select(*docs.columns)

@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,6 +123,8 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def with_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     """Adds range, which rises with doc_id and is -1 for null."""
+    from pyspark.ml.feature import Bucketizer  # on the driver only; workers needn't load it
+
     cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges).alias("cuts")).first()["cuts"] or []
     splits = [-float("inf"), *sorted({float(c) for c in cuts} or {0.0}), float("inf")]
     known = F.coalesce(F.col("doc_id"), F.lit(0)).cast("double")
