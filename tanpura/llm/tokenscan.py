@@ -96,7 +96,7 @@ def token_counts(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     """One row for each document: file, ordinal in the file, start (its first token's place), n_tokens, complete, doc_id (label or null)."""
     small_batches(blocks.sparkSession)
     found = blocks.mapInArrow(separators(separator), FOUND_SQL).withColumn("super", F.floor(F.col("block") / SUPER))
-    last = F.when(F.size("ends") > 0, F.element_at("ends", -1).cast("long"))
+    last = F.try_element_at("ends", F.lit(-1)).cast("long")
     inner = W.partitionBy("file", "super").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     near = found.withColumns({"at": F.coalesce(F.sum("n").over(inner), F.lit(0)), "before": F.coalesce(F.sum(F.size("ends")).over(inner), F.lit(0))})
     near = near.withColumn("end_before", F.max(F.col("at") + last).over(inner))
@@ -110,7 +110,7 @@ def token_counts(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     final = F.col("super_last") & (F.lead("block").over(W.partitionBy("file", "super").orderBy("block")).isNull())
     placed = placed.withColumn("begun", begun).withColumn("final", final)
     ends = F.transform("ends", lambda e: F.col("base") + e)
-    tail = F.when(F.col("final") & (F.coalesce(F.element_at("ends", -1), F.lit(-1)) < F.col("n") - 1), F.array(F.col("base") + F.col("n"))).otherwise(F.array().cast("array<bigint>"))
+    tail = F.when(F.col("final") & (F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(-1)) < F.col("n") - 1), F.array(F.col("base") + F.col("n"))).otherwise(F.array().cast("array<bigint>"))
     placed = placed.withColumn("stops", F.concat(ends, tail))
     rows = placed.select("file", "before", "super_before", "begun", "stops", "labels", F.size("ends").alias("ended"), F.posexplode("stops").alias("i", "stop"))
     start = F.when(F.col("i") == 0, F.col("begun")).otherwise(F.get("stops", F.col("i") - 1) + 1)
