@@ -1,12 +1,11 @@
 """Main text of web pages by line-block distribution.
 
 The page is cut into lines at block-level tags. Lines of menus, headers, footers, sidebars, notices, adverts, forms
-and comments (by element, role, or a word of class or id) have their length set to 0, and where the page marks its
-article, so do lines outside it. Lengths are summed over windows of WINDOW lines; a surge is where the sum rises from
-0 and stays above it, a dive where it falls back to 0, with gaps of boilerplate joined while the page's article goes
-on. The text between surge and dive is kept.
-
-Without marks the surge needs a window of at least SURGE code points, and lines that are mostly links count as 0.
+and comments (by element, role, or a word of class or id) are left out. Where the page marks its article, the text is
+its lines. Otherwise the lengths of the lines, 0 for those that are mostly links, are summed over windows of WINDOW
+lines: a surge is a line of text whose window's sum rises from 0, a dive is where the sum falls back to 0. Between surge
+and dive text is kept, for the stretch with the most text among those whose window reaches SURGE code points (or among
+all, if none does).
 
 Defined cases: null html and pages without text give the empty text; markup may be cut off anywhere, elements may be
 unclosed; character references are decoded once, also those without a semicolon; repeated rows give repeated rows; an
@@ -36,7 +35,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
+    r"(?:^|[\s_-])(?<!with[_-])(?<!has[_-])(?<!no[_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
     r"sidebar|side-bar|rail|widget|footer|header|masthead|topbar|toolbar|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"comment|comments|disqus|replies|respond|related|recommended|share|sharing|social|pagination|pager|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.IGNORECASE,
@@ -142,26 +141,23 @@ def main_text(page: str | None) -> str:
     lines = lines_of(page or "")
     if not lines:
         return ""
-    marked = any(good and not bad for _, _, bad, good in lines)
-    keeps = [not bad and (good if marked else linked <= LINKS * len(text)) for text, linked, bad, good in lines]
-    length = np.array([len(x[0]) if k else 0 for x, k in zip(lines, keeps, strict=True)])
-    # Windows over the lines, with empty lines around the page; the sum at i is that of lines i to i + WINDOW - 1.
+    lines = [x for x in lines if not x[2]]
+    article = [text for text, _, _, good in lines if good]
+    if article or not lines:
+        return "\n\n".join(article)
+    length = np.array([len(text) if linked <= LINKS * len(text) else 0 for text, linked, _, _ in lines])
+    # The sum at i is that of lines i to i + WINDOW - 1, with empty lines after the last.
     sums = np.convolve(np.concatenate([length, np.zeros(WINDOW - 1, int)]), np.ones(WINDOW, int))[WINDOW - 1 :][: len(length)]
-    kept = np.flatnonzero(length)
-    if not len(kept):
+    stretches, surge = [], None
+    for i, s in enumerate(sums):
+        if surge is None and length[i]:
+            surge = i
+        if surge is not None and (not s or i == len(sums) - 1):
+            stretches.append((surge, i))
+            surge = None
+    if not stretches:
         return ""
-    if marked:
-        first, last = kept[0], kept[-1]
-    else:
-        runs, begun = [], None
-        for i, s in enumerate(sums):
-            if begun is None and s > 0 and length[i] > 0:
-                begun = i
-            if begun is not None and (s == 0 or i == len(sums) - 1):
-                runs.append((begun, i))
-                begun = None
-        weight = lambda r: (sums[r[0] : r[1] + 1].max() >= SURGE, length[r[0] : r[1] + 1].sum())
-        first, last = max(runs, key=weight)
+    first, last = max(stretches, key=lambda r: (sums[r[0] : r[1] + 1].max() >= SURGE, length[r[0] : r[1] + 1].sum()))
     return "\n\n".join(lines[i][0] for i in range(first, last + 1) if length[i])
 
 
