@@ -132,35 +132,42 @@ def plan(sized: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     return placed.select("key", "block", "start", "source_size", "target", "times", "rest").join(dealt, ["key", "block"], "left")
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0, sized: DataFrame | None = None) -> DataFrame:
-    """docs with size, source_size, target, taken and draws: array of (shard, place, words), one for each time that words of the row are taken.
+def drawn(docs: DataFrame, shards: int = SHARDS, seed: int = 0, size: Column | None = None) -> DataFrame:
+    """docs with __size, __source_size, __target and __draws: array of (shard, place, words), one for each time that words of the row are taken."""
+    names = [F.col(c) for c in docs.columns]
+    rows = docs.select(*names, (size_of() if size is None else size).alias("__size"), source_key().alias("__key"), order_key(seed=seed).alias("__order"))
+    rows = rows.withColumn("__block", block_of(F.col("__order")))
+    blocks = plan(rows.select(F.col("__key").alias("key"), F.col("__block").alias("block"), F.col("__size").alias("size")), shards, seed)
+    blocks = blocks.select(*(F.col(c).alias(f"__{c}") for c in blocks.columns))
+    before = F.sum("__size").over(W.partitionBy("__key", "__block").orderBy("__order", "doc_id", "__size").rowsBetween(W.unboundedPreceding, -1))
+    joined = rows.withColumn("__before", F.coalesce(before, F.lit(0))).join(blocks, ["__key", "__block"])
+    part = F.greatest(F.lit(0), F.least("__size", F.col("__rest") - F.col("__start") - F.col("__before"))).cast("long")
+    words = lambda s: F.when(s["pass"] <= F.col("__times"), F.col("__size")).otherwise(part)
+    draw = lambda s: F.struct(s["shard"].alias("shard"), F.xxhash64(F.lit(seed), s["shard"], s["pass"], "__order").alias("place"), words(s).alias("words"))
+    slots = F.coalesce("__slots", F.array().cast("array<struct<pass: int, shard: int>>"))
+    draws = F.filter(F.transform(slots, draw), lambda d: d["words"] > 0)
+    return joined.select(*names, "__size", "__source_size", "__target", draws.alias("__draws"))
+
 
-    docs needs doc_id, source, and text or size. Sort a shard's rows by place to shuffle it.
+def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0, size: Column | None = None) -> DataFrame:
+    """docs with size, source_size, target, taken (words that the mix takes) and draws (shard, place and words of each time).
+
+    docs needs doc_id, source, and text unless a column of sizes is given. Sort a shard's draws by place to shuffle it.
     """
-    outs = ["size", "source_size", "target", "taken", "draws"]
-    rows = docs if "size" in docs.columns else docs.withColumn("size", size_of())
-    names = [c for c in docs.columns if c not in outs]
-    rows = rows.select(*names, "size", source_key().alias("key"), order_key(seed=seed).alias("__order"))
-    rows = rows.withColumn("block", block_of(F.col("__order"))) if "block" not in names else rows.withColumn("__kept", F.col("block")).withColumn("block", block_of(F.col("__order")))
-    blocks = plan(rows.select("key", "block", "size"), shards, seed).withColumnsRenamed({c: f"__{c}" for c in ("start", "source_size", "target", "times", "rest", "slots")})
-    before = F.sum("size").over(W.partitionBy("key", "block").orderBy("__order", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
-    joined = rows.withColumn("__before", F.coalesce(before, F.lit(0))).join(blocks, ["key", "block"])
-    part = F.greatest(F.lit(0), F.least("size", F.col("__rest") - F.col("__start") - F.col("__before"))).cast("long")
-    words = lambda s: F.when(s["pass"] <= F.col("__times"), F.col("size")).otherwise(part)
-    draw = lambda s: F.struct(s["shard"].alias("shard"), F.xxhash64(F.lit(seed), s["shard"], s["pass"], "__order").alias("place"), words(s).alias("words"))
-    drawn = F.filter(F.transform(F.coalesce("__slots", F.array().cast("array<struct<pass: int, shard: int>>")), draw), lambda d: d["words"] > 0)
-    kept = [F.col("__kept").alias("block") if c == "block" else F.col(c) for c in names]
-    made = joined.withColumn("__draws", drawn)
-    taken = F.aggregate("__draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
-    return made.select(*kept, "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("taken"), F.col("__draws").alias("draws"))
+    made = drawn(docs, shards, seed, size)
+    outs = {
+        "size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"),
+        "taken": F.aggregate("__draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]), "draws": F.col("__draws"),
+    }
+    return made.select(*(c for c in docs.columns if c not in outs), *(c.alias(k) for k, c in outs.items()))
 
 
 def mixed_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """The mix: docs' columns, a row for each time that a document is taken; a part has the text's first words (and their n_chars)."""
-    drawn = mix(docs, shards, seed).withColumn("__draw", F.explode("draws"))
-    words = F.col("__draw.words")
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORDS})"), 1), F.lit(1), words.cast("int")), " ")
-    made = drawn.withColumn("text", F.when(words < F.col("size"), first).otherwise(F.col("text")))
+    rows = drawn(docs, shards, seed).withColumn("__words", F.explode("__draws.words"))
+    whole = F.col("__words") >= F.col("__size")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORDS})"), 1), F.lit(1), F.col("__words").cast("int")), " ")
+    made = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(first))
     if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.when(words < F.col("size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        made = made.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return made.select(*docs.columns)

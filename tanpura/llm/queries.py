@@ -62,7 +62,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = stored(docs.select("doc_id", "source", mixing.size_of().alias("size")), "mix-sizes")
-    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(sized, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from tanpura.llm import lineblocks, mixing, omh, quality, queries, toxicity
 
-DOCS = "doc_id long, text string, lang string, source string, score double, size_note string"
+DOCS = "doc_id long, text string, lang string, source string, score double, size_note string, size string, key int, block int, taken int"
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, "en", s, 0.5, "kept") for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, "en", s, 0.5, "kept", "old", 1, 2, 3) for i, t, s in rows], DOCS)
 
 
 def plain_sketch(text):
@@ -158,6 +158,7 @@ def test_mixed_rows(spark):
     assert made.columns == rows.columns
     words = made.select(mixing.size_of().alias("n"), "doc_id").toPandas()
     taken = mixing.mix(rows).select("doc_id", "taken").toPandas().set_index("doc_id")["taken"]
+    assert {(r["size"], r["key"], r["block"], r["taken"]) for r in made.collect()} == {("old", 1, 2, 3)}
     assert words.groupby("doc_id")["n"].sum().to_dict() == taken[taken > 0].to_dict()
     assert mixing.mixed_rows(rows.limit(0)).count() == 0
 
