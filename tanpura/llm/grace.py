@@ -164,7 +164,8 @@ def exact_duplicates(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFra
     ranked = F.transform("members", lambda m, i: F.struct((-m["n_chars"]).alias("less"), m["doc_id"].isNull().alias("none"), m["doc_id"].alias("doc_id"), F.col("record").alias("record"), i.alias("at")))
     found = found.select("class", "digest", "record", ranked.alias("members"))
     best = found.groupBy("class").agg(F.min(F.array_min("members")).alias("best"), F.sum(F.size("members").cast("long")).alias("group_size"))
-    rows = found.join(best, "class").select("best", "group_size", "digest", F.explode("members").alias("m"))
+    # Written, so that Spark can split a very large group in the join.
+    rows = found.join(stored(best, "grace-groups"), "class").select("best", "group_size", "digest", F.explode("members").alias("m"))
     return rows.select(
         F.col("m.doc_id").alias("doc_id"),
         F.col("best.doc_id").alias("keep_id"),

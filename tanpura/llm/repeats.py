@@ -276,8 +276,9 @@ def repeated(rows: DataFrame) -> DataFrame:
     found = stored(found, "repeats-occurrences")
     contexts = found.groupBy("key", "context").agg(F.count("*").alias("times"), F.min(F.struct("id", "h", "at")).alias("one"))
     contexts = stored(contexts, "repeats-contexts")
-    keys = contexts.groupBy("key").agg(F.count("*").alias("contexts"))
-    several = contexts.join(keys.where("contexts > 1"), "key").withColumn("hot", F.col("contexts") > HOT)
+    # Written, so that Spark can split a key with very many contexts in the join.
+    keys = stored(contexts.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1"), "repeats-keys")
+    several = contexts.join(keys, "key").withColumn("hot", F.col("contexts") > HOT)
     whole = contexts.where("times > 1").select("key", "context", F.lit(0).alias("low"), F.col("one.at").bitwiseAND(F.lit(1023)).cast("int").alias("high"))
     wanted = several.select("one.id", "one.h", F.struct("one.at", "key", "context", "times", "hot").alias("w")).groupBy("id", "h").agg(F.collect_list("w").alias("wanted"))
     texts = rows.mapInArrow(identified, "id bigint, h int, doc_id bigint, text binary")
@@ -285,7 +286,7 @@ def repeated(rows: DataFrame) -> DataFrame:
     read = stored(texts.join(wanted, ["id", "h"]).select("text", "wanted").mapInArrow(pieces, PIECE_SQL).dropDuplicates(["key", "context"]), "repeats-contexts-bytes")
     cold = read.where("not hot").repartition("key").sortWithinPartitions("key", "context").mapInArrow(sharded, RUNS_SQL)
     hot = read.where("hot").mapInArrow(windows_of, WINDOW_SQL)
-    twice = hot.groupBy("key", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("key", "w1", "w2")
+    twice = stored(hot.groupBy("key", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("key", "w1", "w2"), "repeats-windows")
     single = hot.where("times = 1").join(twice, ["key", "w1", "w2"], "left_semi").select("key", "context", "low", (F.col("low") + 1).alias("high"))
     runs = stored(whole.unionByName(cold).unionByName(single), "repeats-runs")
     first = F.shiftright("at", 20)
