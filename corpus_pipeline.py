@@ -30,7 +30,7 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's tokens, and the digests of its ids and of what they decode to."""
-    made = bpe.digests(bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"))))
+    made = bpe.digests(bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded=True))
     return made.select("doc_id", "lang", "source", "n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tanpura.llm.common import small_batches, text_bytes
 
 #: Pieces that a worker's memo holds before it's emptied.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 200_000
 #: Bytes of text that are encoded before their tokens are handed on.
 GROUP_BYTES = 2 << 20
 
@@ -142,13 +142,22 @@ def groups(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
             start, held = i + 1, 0
 
 
-def encode(df: DataFrame, text: str = "text", vocabulary: tuple[str, str] | None = None, offsets: bool = False) -> DataFrame:
-    """df without its text, with token_ids array<int>; with offsets also byte_offsets and char_offsets array<int>."""
+def as_binary(raw: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """Bytes one after the other, and where each value ends, as an Arrow array."""
+    return pa.Array.from_buffers(pa.binary(), len(stops) - 1, [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(raw)])
+
+
+def encode(df: DataFrame, text: str = "text", vocabulary: tuple[str, str] | None = None, offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """df without its text, with token_ids array<int>; with offsets also byte_offsets and char_offsets array<int>.
+
+    decoded adds what decode() would, in the same pass: one Python worker instead of two for each task.
+    """
     path, pattern = vocabulary or default_vocabulary()
     small_batches(df.sparkSession)
     outs = ["token_ids", *(["byte_offsets", "char_offsets"] if offsets else [])]
+    outs += ["decoded"] if decoded else []
     others = [c for c in df.columns if c not in (text, *outs)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(others).schema), *(f"{c} array<int>" for c in outs)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(others).schema), *(f"{c} {'binary' if c == 'decoded' else 'array<int>'}" for c in outs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
@@ -157,6 +166,7 @@ def encode(df: DataFrame, text: str = "text", vocabulary: tuple[str, str] | None
                 ids, ends = bpe.encode([v.decode("utf-8", "replace") for v in values])
                 made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
                 made += [pa.array(m, pa.list_(pa.int32())) for m in (bpe.offsets(ids, ends) if offsets else ())]
+                made += [as_binary(*bpe.decode(ids, ends))] if decoded else []
                 yield pa.record_batch([*(part.column(c) for c in others), *made], names=[*others, *outs])
 
     return df.select(*others, text_bytes(text).alias("__text")).mapInArrow(run, schema)
@@ -174,9 +184,7 @@ def decode(df: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFram
         for batch in batches:
             lists = batch.column("token_ids")
             ids, ends = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]).astype(np.int64)
-            raw, stops = bpe.decode(ids, ends)
-            made = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(raw)])
-            yield pa.record_batch([*(batch.column(c) for c in names), made], names=[*names, "decoded"])
+            yield pa.record_batch([*(batch.column(c) for c in names), as_binary(*bpe.decode(ids, ends))], names=[*names, "decoded"])
 
     return df.select(names).mapInArrow(run, schema)
 

@@ -31,7 +31,7 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.decode(bpe.encode(docs))).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.digests(bpe.encode(docs, decoded=True)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,11 @@ def test_round_trip_with_split_characters(spark):
         assert bytes(r["decoded"]).decode() == (TEXTS[r["doc_id"]] or "")
 
 
+def test_decoding_in_the_same_pass(spark):
+    rows = bpe.encode(docs(spark), offsets=True, decoded=True)
+    assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in rows.collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
+
+
 def test_nulls_in_ids_decode_to_nothing(spark):
     rows = spark.createDataFrame([(1, None), (2, []), (3, [64])], "doc_id long, token_ids array<int>")
     assert {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(rows).collect()} == {1: b"", 2: b"", 3: b"a"}
