@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tanpura.llm import bpe
-from tanpura.llm.common import Rows, small_batches, text_bytes
+from tanpura.llm.common import Rows, small_batches, stored, text_bytes
 
 SEPARATOR, BLOCK_TOKENS, SUPER = 50256, 1 << 16, 1024
 
@@ -95,7 +95,8 @@ def separators(separator: int = SEPARATOR):
 def token_counts(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     """One row for each document: file, ordinal in the file, start (its first token's place), n_tokens, complete, doc_id (label or null)."""
     small_batches(blocks.sparkSession)
-    found = blocks.mapInArrow(separators(separator), FOUND_SQL).withColumn("super", F.floor(F.col("block") / SUPER))
+    # Written, as both levels of the scan read it: blocks are made and searched once.
+    found = stored(blocks.mapInArrow(separators(separator), FOUND_SQL), "separators").withColumn("super", F.floor(F.col("block") / SUPER))
     last = F.try_element_at("ends", F.lit(-1)).cast("long")
     inner = W.partitionBy("file", "super").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     near = found.withColumns({"at": F.coalesce(F.sum("n").over(inner), F.lit(0)), "before": F.coalesce(F.sum(F.size("ends")).over(inner), F.lit(0))})
