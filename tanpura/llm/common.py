@@ -27,9 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a table in the shared folder and read it back. This cuts the lineage and survives lost executors."""
+#: Rows for each file of a table whose size is known beforehand.
+FILE_ROWS = 200_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to a table in the shared folder and read it back. This cuts the lineage and survives lost executors.
+
+    rows, where known, is a bound of df's rows, by which small tables get few files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // FILE_ROWS)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -42,6 +51,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Rows of a few numbers up to which a written table is broadcast in a join; beyond that it is shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(table: DataFrame) -> DataFrame:
+    """A written, narrow table for a join: broadcast if it is counted to be small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package's modules to the executors once, so that jobs don't depend on the workers' own paths."""
     context = spark.sparkContext

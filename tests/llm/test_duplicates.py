@@ -220,7 +220,7 @@ def test_registers_estimate_it():
 
 def test_components(spark):
     pairs = [(b"a", b"b"), (b"b", b"c"), (b"c", b"d"), (b"x", b"y"), (b"p", b"q"), (b"p", b"r"), (b"r", b"s")]
-    got = {bytes(r["key"]): bytes(r["label"]) for r in probminhash.components(spark.createDataFrame(pairs, "a binary, b binary")).collect()}
+    got = {bytes(r["key"]): bytes(r["label"]) for r in probminhash.components(spark.createDataFrame(pairs, "a binary, b binary"), len(pairs)).collect()}
     assert got == {k: min(g) for g in ([b"a", b"b", b"c", b"d"], [b"x", b"y"], [b"p", b"q", b"r", b"s"]) for k in g}
 
 
