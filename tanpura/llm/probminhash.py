@@ -11,6 +11,12 @@ Similarity is computed exactly from the shingles; pairs of SIMILARITY or more ar
 others are copies of) and holds against them all members of other components; and 2, 4, 8 ... members of components that
 gave no hub yet, which are held against the CENTRAL members with most links of each other component.
 
+At last the members of buckets that still hold several components are held against each other by an exact filter. Where
+alpha is the weight of a's shingles that b lacks and beta that of b's that a lacks, the similarity is at most
+(1 - alpha) (1 - beta) / (1 - alpha beta). With shingles in one order, rarest first, what stands before the first common
+one is lacking, so a pair can be a link only if it has a common shingle before which the weights pass that bound. Such
+pairs are verified, a few for each two components first, until none is left whose components differ.
+
 Defined cases: null and blank texts have no shingles and are one class of their own; a null doc_id is a member like any
 other (a class's id is its smallest doc_id that isn't null); repeated rows are in one class; an empty table gives an
 empty result; other columns are ignored.
@@ -35,6 +41,8 @@ BANDS, BAND_ROWS = 30, 6
 REGISTERS = BANDS * BAND_ROWS
 #: Members with most links that a bucket takes as hubs in each further round.
 CENTRAL = 2
+#: Pairs of two components that are verified in the first round of the filtered pairs; STEP times as many in each further one.
+FIRST_PAIRS, STEP = 8, 8
 #: Shingles that are sketched at once, and words that a worker's memo holds.
 GROUP_SHINGLES, MEMO_WORDS = 1 << 17, 200_000
 
@@ -216,8 +224,55 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return whole.mapInArrow(compared(least), "a binary, b binary, similarity double")
 
 
+def relabelled(labels: DataFrame, new: DataFrame, n: int, size: int) -> DataFrame:
+    """labels (size rows) after new links (n rows), whose ends have different labels, join components, as a graph of labels."""
+    known = small_side(labels)
+    ends = new.join(known.toDF("a", "la"), "a").join(known.toDF("b", "lb"), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    roots = small_side(components(ends, n)).toDF("label", "root")
+    return stored(labels.join(roots, "label", "left").select("key", F.coalesce("root", "label").alias("label")), "labels", size)
+
+
+def filtered_pairs(members: DataFrame, least: float) -> DataFrame:
+    """(key, label, shingles) to every pair (a, b) of different labels that may have similarity least or more."""
+    grams = stored(members.select("key", "label", F.explode("shingles").alias("shingle")).groupBy("key", "label", "shingle").agg(F.count("*").alias("weight")), "filter-shingles")
+    # A shingle of one label makes no pair, but its weight counts as lacking.
+    counts = stored(grams.groupBy("shingle").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("mixed")).where("n > 1"), "filter-counts")
+    own = W.partitionBy("key")
+    rarest = own.orderBy(F.coalesce("n", F.lit(1)), "shingle").rowsBetween(W.unboundedPreceding, -1)
+    share = (F.coalesce(F.sum("weight").over(rarest), F.lit(0)) / F.sum("weight").over(own)).alias("before")
+    begun = grams.join(counts, "shingle", "left").select("shingle", "key", "label", "mixed", share)
+    begun = stored(begun.where(F.col("mixed") & (F.col("before") <= 1 - least + 1e-6)).drop("mixed"), "filter-prefixes")
+    # One end of a pair isn't in the shingle's largest component, so that one isn't held against itself.
+    largest = begun.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("label", "n").alias("largest"))
+    other = begun.join(stored(largest, "filter-largest"), "shingle").where("label <> largest")
+    other = stored(other.select("shingle", F.col("key").alias("other"), F.col("label").alias("other_label"), F.col("before").alias("other_before")), "filter-others")
+    passes = (1 - F.col("before")) * (1 - F.col("other_before")) >= least * (1 - F.col("before") * F.col("other_before")) - 1e-6
+    met = begun.join(other, "shingle").where((F.col("label") != F.col("other_label")) & passes)
+    return met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
+def completed(crowded: DataFrame, labels: DataFrame, sets: DataFrame, tried: DataFrame, least: float, size: int) -> DataFrame:
+    """labels (size rows) after every pair of a bucket of crowded (value, key) is verified, excluded exactly or within a component."""
+    several = (F.count("*") > 3) & (F.min("label") < F.max("label"))  # of three, hubs have met all
+    held = crowded.join(small_side(labels), "key")
+    open_buckets = small_side(stored(held.groupBy("value").agg(several.alias("several")).where("several").select("value"), "open"))
+    members = held.join(open_buckets, "value", "left_semi").select("key", "label").distinct()
+    rest = stored(filtered_pairs(sets.join(small_side(stored(members, "open-members", size)), "key"), least).join(tried, ["a", "b"], "left_anti"), "filter-pairs")
+    bound = FIRST_PAIRS
+    while not rest.isEmpty():
+        known = small_side(labels)
+        apart = rest.join(known.toDF("a", "la"), "a").join(known.toDF("b", "lb"), "b").where("la <> lb")
+        turn = F.row_number().over(W.partitionBy(F.least("la", "lb"), F.greatest("la", "lb")).orderBy(F.xxhash64("a", "b"), "a", "b"))
+        apart = stored(apart.select("a", "b", turn.alias("turn")), "filter-turns")
+        new = stored(verified(apart.where(F.col("turn") <= bound).select("a", "b"), sets, least), "links")
+        if n := new.count():
+            labels = relabelled(labels, new, n, size)
+        rest, bound = apart.where(F.col("turn") > bound).select("a", "b"), bound * STEP
+    return labels
+
+
 def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
-    """(key, label) of the components that links between nodes (key, bands) make, for nodes that share a band; None without any."""
+    """(key, label) of the components that links between nodes (key, bands) make, for all nodes that share a band; None without any."""
     members = nodes.select("key", F.explode("bands").alias("value"))
     # Written, like other sides that are grouped, so that Spark can split a very large bucket in the join.
     ends = stored(members.groupBy("value").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last"), "buckets")
@@ -228,7 +283,7 @@ def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataF
     pairs = stored(pairs.select("value", F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")), "pairs")
     if pairs.isEmpty():
         return None
-    crowded = crowded.select("value", "key")
+    whole = crowded = crowded.select("value", "key")
     texts = docs.select("doc_id", text_bytes().alias("text")).mapInArrow(shingled, "key binary, shingles array<int>")
     sets = stored(texts.join(crowded.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "shingles")
     labels = keys = sets.select("key", F.col("key").alias("label"))
@@ -240,10 +295,7 @@ def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataF
     found = None
     while n := new.count():
         found = new if found is None else found.union(new)
-        # The components that the new links join, as a graph of labels.
-        ends = label_of(label_of(new, "a").withColumnRenamed("label", "la"), "b").where("la <> label").select(F.col("la").alias("a"), F.col("label").alias("b"))
-        roots = small_side(components(ends, n)).toDF("label", "root")
-        labels = stored(labels.join(roots, "label", "left").select("key", F.coalesce("root", "label").alias("label")), "labels", size)
+        labels = relabelled(labels, new, n, size)
         # A bucket goes on while its hubs bring links and it has components that gave no hub yet.
         alive = small_side(stored(pairs.join(small_side(new), ["a", "b"], "left_semi").select("value").distinct(), "alive", many))
         known = stored(label_of(crowded.join(alive, "value", "left_semi"), "key").select("value", "key", "label"), "crowded", many)
@@ -265,7 +317,7 @@ def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataF
         apart = pairs.select("a", "b").distinct()
         new = stored(verified(apart, sets, least), "links")
         crowded, hubs, tried, bound = known.select("value", "key"), hubs.union(chosen.select("value", "hub")), tried.union(apart), bound + 1
-    return labels
+    return completed(whole, labels, sets, tried, least, size)
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -186,6 +186,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert [got[i] for i, _ in rows] == brute_classes(rows)
 
 
+def test_a_bucket_is_compared_whole(spark):
+    rng = random.Random(8)
+    base = words(rng, 100)
+    pair = [" ".join(base), " ".join([*base[:-1], "other"])]
+    ends = sorted(probminhash.key_of(t.split()) for t in pair)
+    alone = [" ".join(words(rng, 100)) for _ in range(60)]
+    keys = [probminhash.key_of(t.split()) for t in alone]
+    assert min(keys) < ends[0] and ends[1] < max(keys)  # neither is one of the first hubs
+    nodes = spark.createDataFrame([(k, [1]) for k in [*keys, *ends]], "key binary, bands array<long>")
+    made = {bytes(r["key"]): bytes(r["label"]) for r in probminhash.links(docs(spark, list(enumerate(alone + pair))), nodes).collect()}
+    assert made == {k: k for k in keys} | {k: ends[0] for k in ends}
+
+
 def test_near_dedup_keeps_one_of_each_class(spark):
     rows = near_rows()
     frame = docs(spark, [*rows, rows[0], rows[0], (None, rows[1][1])])
