@@ -1,11 +1,15 @@
 """Main text of web pages by line-block distribution.
 
 The page is cut into lines at block-level tags. Lines of menus, headers, footers, sidebars, notices, adverts, forms
-and comments (by element, role, or a word of class or id) are left out. Where the page marks its article, the text is
-its lines. Otherwise the lengths of the lines, 0 for those that are mostly links, are summed over windows of WINDOW
-lines: a surge is a line of text whose window's sum rises from 0, a dive is where the sum falls back to 0. Between surge
-and dive text is kept, for the stretch with the most text among those whose window reaches SURGE code points (or among
-all, if none does).
+and comments (by element, role, or a word of class or id) are left out; a class or id doesn't count for an element that
+encloses the page's only article or most of its text. The lengths of the other lines, 0 for those that are mostly links,
+are summed over windows of WINDOW lines: a surge is a line of text whose window's sum rises from 0, a dive is where the
+sum falls back to 0. All lines between surge and dive are kept, for every stretch whose window reaches SURGE code points
+(for the one with the most text, if none does).
+
+Marks of an article adjust lengths and bounds only: where marked lines hold at least half of the text, the other lines'
+lengths are 0, and what is kept of an article is extended to its ends. Otherwise (teasers in articles) marks aren't
+used; what is kept of an element that holds lines (div, section, td) is extended to its first and last line of text.
 
 Defined cases: null html and pages without text give the empty text; markup may be cut off anywhere, elements may be
 unclosed; character references are decoded once, also those without a semicolon; repeated rows give repeated rows; an
@@ -17,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +30,13 @@ from pyspark.sql import functions as F
 
 from tanpura.llm.common import small_batches
 
-WINDOW, SURGE, LINKS = 3, 80, 0.5
+WINDOW, SURGE, LINKS, MOST = 3, 80, 0.5, 0.5
 
 # HTML element names by role.
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button title head".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 ARTICLE = frozenset("article main".split())
+HOLDERS = frozenset("div section td article main".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -48,41 +54,65 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([
 SPACE = re.compile(r"\s+")
 
 
-def boilerplate(name: str, attributes: str) -> bool:
+#: Whether an element is boilerplate: no, for all it holds, by a word of class or id (and whether that is of comments).
+NO, ALL, WORD, COMMENTS = range(4)
+
+
+def boilerplate(name: str, attributes: str) -> int:
     """Whether an element is one of menus, adverts and the like."""
     if name in BOILERPLATE:
-        return True
+        return ALL
     if not attributes or name in ("body", "html"):
-        return False
+        return NO
+    found = ATTRIBUTE.findall(attributes)
     if name in ARTICLE:
-        return any(COMMENT.search(a or b or c) for _, a, b, c in ATTRIBUTE.findall(attributes))
-    for key, *values in ATTRIBUTE.findall(attributes):
+        return ALL if any(COMMENT.search(a or b or c) for _, a, b, c in found) else NO
+    by = NO
+    for key, *values in found:
         value = next(filter(None, values), "")
-        if key.lower() in ("class", "id") and MARKS.search(value) or key.lower() == "role" and value.lower() in ROLES or key.lower() == "hidden" or key.lower() == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
-
-
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The page's lines: text, code points of it in links, whether in boilerplate, whether in the article."""
-    lines: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, whether boilerplate, whether article
+        key = key.lower()
+        if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            return ALL
+        if key in ("class", "id") and MARKS.search(value):
+            by = max(by, COMMENTS if COMMENT.search(value) else WORD)
+    return by
+
+
+class Line(NamedTuple):
+    text: str
+    linked: int  # code points in links
+    bad: bool  # in boilerplate whatever the page holds
+    words: tuple[tuple[int, int], ...]  # elements that are boilerplate by class or id: number, WORD or COMMENTS
+    article: int  # number of the outermost article, or 0
+    holder: int  # number of the innermost of HOLDERS, or 0
+
+    @property
+    def length(self) -> int:
+        return len(self.text) if self.linked <= LINKS * len(self.text) else 0
+
+
+def lines_of(page: str) -> list[Line]:
+    """The page's lines."""
+    lines: list[Line] = []
+    stack: list[tuple[str, int, bool, int]] = []  # open elements: name, whether boilerplate, whether article, number
     parts: list[str] = []
-    linked = bad = good = link = 0
+    linked = bad = good = link = opened = 0
 
     def end_line() -> None:
         nonlocal linked
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                lines.append((text, linked, bad > 0, good > 0))
+                words = tuple((i, b) for _, b, _, i in stack if b in (WORD, COMMENTS))
+                article = next((i for _, _, g, i in stack if g), 0) if good else 0
+                lines.append(Line(text, linked, bad > 0, words, article, next((i for n, _, _, i in reversed(stack) if n in HOLDERS), 0)))
             parts.clear()
         linked = 0
 
     def close(i: int) -> None:
         nonlocal bad, good, link
-        for name, was_bad, was_good in reversed(stack[i:]):
-            bad -= was_bad
+        for name, was_bad, was_good, _ in reversed(stack[i:]):
+            bad -= was_bad == ALL
             good -= was_good
             link -= name == "a"
         del stack[i:]
@@ -125,27 +155,51 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                 if stack[i][0] in CLOSES_P:
                     break
         if name not in VOID and not attributes.endswith("/"):
-            own_bad, own_good = boilerplate(name, attributes), name in ARTICLE
+            own_bad = boilerplate(name, attributes)
+            own_good = name in ARTICLE and not own_bad
             if name == "header" and good:
-                own_bad = False  # an article's own heading
-            stack.append((name, own_bad, own_good))
-            bad += own_bad
+                own_bad = NO  # an article's own heading
+            opened += 1
+            stack.append((name, own_bad, own_good, opened))
+            bad += own_bad == ALL
             good += own_good
             link += name == "a"
     end_line()
     return lines
 
 
+def without_boilerplate(lines: list[Line]) -> list[Line]:
+    """The lines outside boilerplate. Class and id don't count for elements that enclose the only article or most of the text."""
+    lines = [x for x in lines if not x.bad]
+    inside: dict[tuple[int, int], list[Line]] = {}
+    for x in lines:
+        for e in x.words:
+            inside.setdefault(e, []).append(x)
+    if not inside:
+        return lines
+    total, rest = sum(x.length for x in lines), sum(x.length for x in lines if not x.words)
+    marked = any(x.article and not x.words for x in lines)
+    wraps = set()
+    for e, held in inside.items():
+        text = sum(x.length for x in held)
+        most = text > MOST * total and text >= SURGE and (e[1] == WORD or rest < SURGE) and (not marked or len(held) >= WINDOW)
+        # An article that the element encloses, rather than one that encloses it, has the larger number.
+        if most or not marked and any(x.article > e[0] for x in held):
+            wraps.add(e)
+    return [x for x in lines if wraps.issuperset(x.words)]
+
+
 def main_text(page: str | None) -> str:
     """The main text: its lines joined by an empty line."""
-    lines = lines_of(page or "")
+    lines = without_boilerplate(lines_of(page or ""))
     if not lines:
         return ""
-    lines = [x for x in lines if not x[2]]
-    article = [text for text, _, _, good in lines if good]
-    if article or not lines:
-        return "\n\n".join(article)
-    length = np.array([len(text) if linked <= LINKS * len(text) else 0 for text, linked, _, _ in lines])
+    length = np.array([x.length for x in lines])
+    article = np.array([x.article for x in lines])
+    block = np.array([x.holder for x in lines])
+    marked = article.any() and length[article > 0].sum() >= MOST * length.sum()
+    if marked:
+        length, block = np.where(article > 0, length, 0), article
     # The sum at i is that of lines i to i + WINDOW - 1, with empty lines after the last.
     sums = np.convolve(np.concatenate([length, np.zeros(WINDOW - 1, int)]), np.ones(WINDOW, int))[WINDOW - 1 :][: len(length)]
     stretches, surge = [], None
@@ -153,12 +207,23 @@ def main_text(page: str | None) -> str:
         if surge is None and length[i]:
             surge = i
         if surge is not None and (not s or i == len(sums) - 1):
-            stretches.append((surge, i))
+            stretches.append((surge, surge + int(np.flatnonzero(length[surge : i + 1])[-1])))
             surge = None
-    if not stretches:
-        return ""
-    first, last = max(stretches, key=lambda r: (sums[r[0] : r[1] + 1].max() >= SURGE, length[r[0] : r[1] + 1].sum()))
-    return "\n\n".join(lines[i][0] for i in range(first, last + 1) if length[i])
+    reached = [r for r in stretches if sums[r[0] : r[1] + 1].max() >= SURGE]
+    if not reached and stretches:
+        reached = [max(stretches, key=lambda r: length[r[0] : r[1] + 1].sum())]
+    kept = np.zeros(len(lines), bool)
+    for first, last in reached:
+        kept[first : last + 1] = True
+    if marked:
+        # An article without a surge has links only.
+        kept = article > 0 if not reached else np.isin(article, article[kept & (article > 0)])
+    else:
+        for b in np.unique(block[kept & (length > 0) & (block > 0)]):
+            own = block == b
+            text = np.flatnonzero(own & (length > 0))
+            kept[text[0] : text[-1] + 1] |= own[text[0] : text[-1] + 1]
+    return "\n\n".join(x.text for x, k in zip(lines, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame, markup: str = "html") -> DataFrame:

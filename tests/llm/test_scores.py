@@ -106,6 +106,30 @@ def test_main_text(page, want):
     assert lineblocks.main_text(page) == want
 
 
+LONG = "A sentence of the main text that is long enough for a surge, so that windows reach it at once"
+INDEX = "".join(f"<p><a href={i}>Source number {i}</a></p>" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        # Links within the text, with and without an article.
+        (f"<article><p>{LONG} 1</p>{INDEX}<p>{LONG} 2</p></article>", 2),
+        (f"<div><p>{LONG} 1</p>{INDEX}<p>{LONG} 2</p><p>{LONG} 3</p></div>", 3),
+        (f"<div><p>{LONG} 1</p><p>{LONG} 2</p>{INDEX}<p>The end.</p></div>", 2),
+        # Teasers in articles beside the text.
+        (f"<div><p>{LONG} 1</p><p>{LONG} 2</p></div>{INDEX}<article><p>Teaser</p></article>", 2),
+        # A word of class or id on what encloses the article, or most of the text.
+        (f"<div class='page sidebar-right'><article><p>{LONG} 1</p></article></div>", 1),
+        (f"<div id='sticky-header'><p>{LONG} 1</p><p>{LONG} 2</p><div class='ad'>Buy</div></div>", 2),
+    ],
+)
+def test_line_blocks_keep_every_stretch(page, want):
+    got = lineblocks.main_text(page).split("\n\n")
+    assert [x for x in got if x.startswith(LONG)] == [f"{LONG} {i + 1}" for i in range(want)]
+    assert "Teaser" not in got and "Buy" not in got and ("The end." in got) == ("The end." in page)
+
+
 def test_extraction_over_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     got = lineblocks.extract(pages).collect()
