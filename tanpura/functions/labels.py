@@ -22,12 +22,13 @@ def percent(confidence: Column) -> Column:
 
 
 def level(confidence: Column) -> Column:
-    """high, medium or low by the rounded percentage."""
+    """high, medium or low by the rounded percentage; null counts as low."""
     p = percent(confidence)
     return F.when(p >= 80, "high").when(p >= 60, "medium").otherwise("low")
 
 
 def creativity_band(creativity: Column) -> Column:
+    """Three bands with cuts at 33 and 66; null counts as the last one."""
     return F.when(creativity < 33, "Conservative").when(creativity < 66, "Balanced").otherwise("Experimental")
 
 

@@ -48,15 +48,17 @@ def tempo_estimate(onsets: DataFrame) -> DataFrame:
     return onsets.withColumn("gap", gap).groupBy("recording_id").agg(F.median("gap").alias("m")).select("recording_id", F.floor(F.try_divide(F.lit(60000.0), F.nullif("m", F.lit(0.0))) + 0.5).cast("int").alias("tempo"))
 
 
-def timeline(compositions: DataFrame) -> DataFrame:
-    """One row for each beat of a composition: request_id, b, cycle, beat, syllable, offset_ms.
+def timeline(compositions: DataFrame, cycles: int | None = None) -> DataFrame:
+    """One row for each beat of a composition, or of its first cycles: request_id, b, cycle, beat, syllable, offset_ms.
 
-    compositions has request_id, tala_id, tempo, duration. Columns are pruned before the rows are multiplied.
+    compositions has request_id, tala_id, tempo, duration. Columns are pruned before the rows are multiplied, and cycles
+    bounds how often.
     """
     beats = F.broadcast(tala_beats(catalog.dim_tala(compositions.sparkSession)).groupBy("id").agg(F.max("beats").alias("beats"), F.transform(F.sort_array(F.collect_list(F.struct("beat", "syllable"))), lambda x: x["syllable"]).alias("syllables")))
     n = F.floor(F.col("duration") * F.col("tempo") / 60).cast("int")
     rows = compositions.select("request_id", "tala_id", "tempo", n.alias("n")).where("n >= 1").join(beats, F.col("tala_id") == F.col("id"))
-    rows = rows.select("request_id", "tempo", "beats", "syllables", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("b"))
+    last = F.col("n") if cycles is None else F.least("n", F.col("beats") * cycles)
+    rows = rows.select("request_id", "tempo", "beats", "syllables", F.explode(F.sequence(F.lit(0), last - 1)).alias("b"))
     beat = (F.col("b") % F.col("beats")).cast("int")
     return rows.select("request_id", "b", F.floor(F.col("b") / F.col("beats")).cast("int").alias("cycle"), beat.alias("beat"), F.get("syllables", beat).alias("syllable"), F.floor(F.col("b") * 60000 / F.col("tempo")).cast("long").alias("offset_ms"))
 

@@ -39,12 +39,13 @@ def final_state(events: DataFrame) -> DataFrame:
 def stale_results(calls: DataFrame, events: DataFrame) -> DataFrame:
     """Calls during which the session chose another file: the first choice after the request isn't after the result.
 
-    One pass over each session's calls and choices in order, so that neither side is multiplied.
+    One pass over each session's calls and choices, latest first, so that neither side is multiplied and the frame only
+    grows: a running minimum, whose cost is a sort of the session. Calls that never end and null times give no row.
     """
     chosen = events.where("action = 'SELECT_FILE'").select("session_id", F.col("ts").alias("at"), F.col("ts").alias("chosen"), F.lit(None).cast("long").alias("recording_id"), F.lit(None).cast("timestamp").alias("completed_at"))
     asked = calls.select("session_id", F.col("requested_at").alias("at"), F.lit(None).cast("timestamp").alias("chosen"), "recording_id", "completed_at")
-    later = W.partitionBy("session_id").orderBy(F.unix_micros("at")).rangeBetween(1, W.unboundedFollowing)
-    both = chosen.union(asked).withColumn("next", F.min("chosen").over(later))
+    later = W.partitionBy("session_id").orderBy(-F.unix_micros("at")).rangeBetween(W.unboundedPreceding, -1)
+    both = chosen.union(asked).where("at is not null").withColumn("next", F.min("chosen").over(later))
     return both.where("recording_id is not null and next <= completed_at").select("recording_id", "session_id")
 
 

@@ -17,6 +17,13 @@ def literal(value) -> str:
     return repr(value)
 
 
+def filled(kind: str, **columns: str) -> str:
+    """A message's template with its fields replaced by SQL expressions."""
+    template = next(m[2] for m in catalog.MESSAGES if m[0] == kind)
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(columns[p] if i % 2 else literal(p) for i, p in enumerate(parts) if p)
+
+
 def values(name: str, columns: str, rows: list[tuple]) -> str:
     return f"{name}({columns}) as (values {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)})"
 
@@ -82,9 +89,9 @@ COMMON |= {
     "resolved": """resolved as (
       select q.*, r.name as raga_name, t.name as tala_name, t.beats, s.name as style_name
       from requests q left join dim_raga r on r.id = q.raga left join dim_tala t on t.id = q.tala left join dim_style s on s.id = q.style)""",
-    "compositions": """compositions as (
+    "compositions": f"""compositions as (
       select request_id, session_id, 'comp_' || cast(epoch_us(requested_at) // 1000 as varchar) as id, raga as raga_id, raga_name, tala as tala_id, tala_name, beats, style as style_id, style_name,
-        tempo, duration, creativity, 'https://storage.googleapis.com/demo-audio/' || raga || '_' || tala || '_' || cast(tempo as varchar) || 'bpm.mp3' as audio_url,
+        tempo, duration, creativity, {literal(catalog.AUDIO_BASE)} || raga || '_' || tala || '_' || cast(tempo as varchar) || 'bpm.mp3' as audio_url,
         epoch_us(requested_at) // 1000 as generated_ms
       from resolved where raga_name is not null and tala_name is not null and style_name is not null)""",
     "finals": """finals as (
@@ -129,6 +136,7 @@ COMMON |= {
       left join tala_found f on f.request_id = coalesce(m.recording_id, t.recording_id))""",
 }
 
+FIRST = [literal(table[0][0]) for table in (catalog.RAGAS, catalog.TALAS, catalog.STYLES)]
 LEVEL = "case when floor(confidence * 100 + 0.5) >= 80 then 'high' when floor(confidence * 100 + 0.5) >= 60 then 'medium' else 'low' end"
 MINUTES = "cast(cast(floor(floor({0}) / 60) as bigint) as varchar) || ':' || lpad(cast(cast(floor({0}) as bigint) % 60 as varchar), 2, '0')"
 
@@ -153,7 +161,7 @@ BODIES = {
     "raga_by_id": lookup_sql("dim_raga", "raga"),
     "tala_by_id": lookup_sql("dim_tala", "tala"),
     "style_by_id": lookup_sql("dim_style", "style"),
-    "catalog_defaults": "select request_id, coalesce(nullif(raga, ''), 'bhairavi') as raga, coalesce(nullif(tala, ''), 'teental') as tala, coalesce(nullif(style, ''), 'dhrupad') as style from requests",
+    "catalog_defaults": f"select request_id, coalesce(nullif(raga, ''), {FIRST[0]}) as raga, coalesce(nullif(tala, ''), {FIRST[1]}) as tala, coalesce(nullif(style, ''), {FIRST[2]}) as style from requests",
     "mood_tokens": "select q.request_id, cast(m.place - 1 as int) as place, m.mood from requests q join (select id, unnest(string_split(mood, ', ')) as mood, generate_subscripts(string_split(mood, ', '), 1) as place from dim_raga) m on m.id = q.raga",
     "tala_beats": "select b.id, cast(b.section as int) as section, cast(b.beat as int) as beat, b.syllable, (select count(*) from requests q where q.tala = b.id) as n_requests from tala_beats b",
     "raga_categories": """select kind, category, string_agg(id, ',' order by ordinal) as members, cast(sum(n) as bigint) as n_requests from (
@@ -164,9 +172,14 @@ BODIES = {
     "duration_format": f"select request_id, {MINUTES.format('duration')} as text from requests",
     "position_format": f"select event_id, {MINUTES.format('position_s')} as position, {MINUTES.format('duration_s')} as duration from playback",
     "playback_progress": "select event_id, case when duration_s is null or isnan(duration_s) or duration_s = 0 then 0.0::double else position_s / duration_s * 100 end as progress from playback",
-    "analysis_messages": "select recording_id, case when raga_name is null then 'Could not determine the raga with confidence' else 'Detected Raga: ' || raga_name || ' (' || cast(cast(floor(confidence * 100 + 0.5) as bigint) as varchar) || '% confidence)' end as message from analyses",
-    "composition_messages": "select request_id, 'Successfully created a ' || cast(duration as varchar) || ' second composition in ' || raga_name || ' raga.' as message from compositions",
+    "analysis_messages": f"select recording_id, case when raga_name is null then {literal(catalog.UNDETECTED_MESSAGE)} else {filled("analysis_ok", name="raga_name", pct="cast(cast(floor(confidence * 100 + 0.5) as bigint) as varchar)")} end as message from analyses",
+    "composition_messages": f"select request_id, {filled('generation_ok', duration='cast(duration as varchar)', name='raga_name')} as message from compositions",
     "notification_texts": "select e.event_id, m.kind, m.title, m.text_template, m.severity from session_events e join dim_message m on m.kind = case e.action when 'ANALYZE_OK' then 'analysis_ok' when 'ANALYZE_ERR' then 'analysis_failed' when 'GENERATE_OK' then 'generation_ok' end",
+    "message_catalogue": """select m.kind, m.title, m.text_template, m.severity, case m.kind
+        when 'analysis_ok' then (select count(*) from session_events where action = 'ANALYZE_OK') when 'analysis_failed' then (select count(*) from session_events where action = 'ANALYZE_ERR')
+        when 'generation_ok' then (select count(*) from session_events where action = 'GENERATE_OK')
+        when 'generation_failed' then (select count(*) from resolved where raga_name is null or tala_name is null or style_name is null)
+        when 'no_file' then (select count(*) from recordings where not regexp_matches(file_name, '\\.(mp3|wav|flac)$')) end as n_shown from dim_message m""",
     "analysis_cards": f"select recording_id, cast(floor(confidence * 100 + 0.5) as bigint) as pct, {LEVEL} as level, raga_name, raga_time, raga_mood, tala_name || ' (' || cast(beats as varchar) || ' beats)' as tala_label, tala_pattern, cast(nullif(tempo, 0) as varchar) || ' BPM' as tempo_text, cast(null as varchar) as undetected_text from analyses",
     "composition_cards": "select request_id, raga_name, tala_name || ' (' || cast(beats as varchar) || ' beats)' as tala_label, style_name, cast(tempo as varchar) || ' BPM' as tempo_text from compositions",
     "analysis_notes": "select recording_id, cast(place - 1 as int) as place, note from (select recording_id, unnest(notes) as note, generate_subscripts(notes, 1) as place from analyses) x",
@@ -181,7 +194,7 @@ BODIES = {
     "compose": "select request_id, session_id, id, raga_id, raga_name, tala_id, beats, style_id, tempo, duration, creativity, audio_url, generated_ms from compositions",
     "analyze": "select recording_id, session_id, file_name, cast(rule as int) as rule, raga_id, raga_name, tala_id, tempo, confidence, array_to_string(notes, ',') as notes from analyses",
     "default_assignment": "select recording_id, cast(d_raga as int) as raga_ordinal, cast(d_tala as int) as tala_ordinal, cast(d_tempo as int) as tempo, d_confidence as confidence from drawn where rule is null",
-    "prefilled_settings": "select f.session_id, coalesce(nullif(a.raga_id, ''), 'bhairavi') as raga, coalesce(nullif(a.tala_id, ''), 'teental') as tala, 'dhrupad' as style, cast(coalesce(nullif(a.tempo, 0), 80) as int) as tempo, 60 as duration, 50 as creativity from finals f left join analyses a on a.recording_id = f.analysis_event",
+    "prefilled_settings": f"select f.session_id, coalesce(nullif(a.raga_id, ''), {FIRST[0]}) as raga, coalesce(nullif(a.tala_id, ''), {FIRST[1]}) as tala, {FIRST[2]} as style, cast(coalesce(nullif(a.tempo, 0), {catalog.DEFAULT_TEMPO}) as int) as tempo, {catalog.DEFAULT_DURATION} as duration, {catalog.DEFAULT_CREATIVITY} as creativity from finals f left join analyses a on a.recording_id = f.analysis_event",
     "latest_notifications": "select session_id, cast(rank as int) as rank, toast_id, payload from (select session_id, event_id as toast_id, payload, row_number() over (partition by session_id order by ts desc) as rank from notification_events where action = 'ADD') x where rank <= 3",
     "session_state": """select event_id, session_id, file_event, case when cleared is null or analysed > cleared then analysed end as analysis_event, composition_event, file_event is not null as can_analyze, composition_event is not null as can_play from (
         select event_id, session_id, max(case when action = 'SELECT_FILE' then event_id end) over w as file_event, max(case when action = 'ANALYZE_OK' then event_id end) over w as analysed,
@@ -212,6 +225,13 @@ BODIES = {
     "stream_distinct_requests": "select request_id, session_id from requests",
 }
 BODIES["stream_in_flight"] = BODIES["accepted_calls"]
+BODIES["stream_pending"] = BODIES["pending_calls"]
+BODIES["stream_expiry"] = """select session_id, toast_id, dismissed + 1000000 as expires_ms from (
+    select a.session_id, a.event_id as toast_id, a.next_ms, min(epoch_us(e.ts) // 1000) as dismissed
+    from (select session_id, event_id, ts, lead(ts) over w as next, lead(epoch_us(ts) // 1000) over w as next_ms from notification_events where action = 'ADD' window w as (partition by session_id order by ts)) a
+    join notification_events e on e.session_id = a.session_id and e.action = 'DISMISS' and e.ts > a.ts and (a.next is null or e.ts < a.next)
+    group by a.session_id, a.event_id, a.next_ms) x
+  where next_ms is null or dismissed + 1000000 <= next_ms"""
 
 
 def needed(text: str) -> list[str]:

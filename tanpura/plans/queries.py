@@ -160,6 +160,15 @@ def notification_texts(spark, d):
     return rows.join(F.broadcast(catalog.dim_message(spark)), "kind").select("event_id", "kind", "title", "text_template", "severity")
 
 
+def message_catalogue(spark, d):
+    """All kinds of message, and how many rows show each: events of a session, rejected requests, uploads that aren't audio."""
+    shown = notification_texts(spark, d).select("kind")
+    shown = shown.unionByName(C.rejected(requests(spark, d)).select(F.lit("generation_failed").alias("kind")))
+    shown = shown.unionByName(recordings(spark, d).where(~audio.is_audio()).select(F.lit("no_file").alias("kind")))
+    counts = shown.groupBy("kind").agg(F.count("*").alias("n"))
+    return catalog.dim_message(spark).join(counts, "kind", "left").select("kind", "title", "text_template", "severity", F.coalesce("n", F.lit(0)).alias("n_shown"))
+
+
 def analysis_cards(spark, d):
     return A.cards(A.analyze(recordings(spark, d)))
 
@@ -264,20 +273,20 @@ def tempo_estimate(spark, d):
     return D.tempo_estimate(tables.load(spark, d, tables.onsets))
 
 
-def beats(spark, d):
-    return D.timeline(C.flat(C.compose(requests(spark, d))))
+def beats(spark, d, cycles=None):
+    return D.timeline(C.flat(C.compose(requests(spark, d))), cycles)
 
 
 def tala_match(spark, d):
-    return D.tala_match(beats(spark, d))
+    return D.tala_match(beats(spark, d, cycles=1))
 
 
-def content(spark, d):
-    return D.content_analysis(tables.load(spark, d, tables.note_observations), tables.load(spark, d, tables.onsets), catalog.dim_raga(spark), tala_match(spark, d))
+def content(spark, d, talas_found=None):
+    return D.content_analysis(tables.load(spark, d, tables.note_observations), tables.load(spark, d, tables.onsets), catalog.dim_raga(spark), talas_found)
 
 
 def content_analysis(spark, d):
-    return content(spark, d)
+    return content(spark, d, tala_match(spark, d))
 
 
 def composition_timeline(spark, d):
@@ -298,7 +307,7 @@ def accepted_calls(spark, d):
 BATCH = [
     catalog_ragas, catalog_talas, catalog_styles, known_analyses, audio_recordings, composition_export, raga_labels, tala_labels, raga_by_id, tala_by_id, style_by_id,
     catalog_defaults, mood_tokens, tala_beats, raga_categories, confidence_levels, creativity_bands, duration_format, position_format, playback_progress, analysis_messages,
-    composition_messages, notification_texts, analysis_cards, composition_cards, analysis_notes, settings_from_edits, canonical_notes, submit_gate, rejected_requests,
+    composition_messages, notification_texts, message_catalogue, analysis_cards, composition_cards, analysis_notes, settings_from_edits, canonical_notes, submit_gate, rejected_requests,
     domain_violations, undetected_recordings, resolved_requests, classify_recordings, compose, analyze, default_assignment, prefilled_settings, latest_notifications,
     session_state, session_final_state, stale_results, notification_state, notification_expiry, notification_sequence, raga_match, raga_candidates, tempo_estimate,
     tala_match, content_analysis, composition_timeline, pending_calls, accepted_calls,

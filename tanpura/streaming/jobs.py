@@ -1,7 +1,11 @@
 """Streaming jobs over the same functions as the batch queries, and the three stateful folds.
 
 Each job reads a file stream, runs over what is there (availableNow) unless told otherwise, and writes Parquet with a
-checkpoint, in the folder that driver and executors share.
+checkpoint, in the folder that driver and executors share. A micro-batch takes at most BATCH_BYTES of files, so that a
+key's rows in one batch are bounded whatever the log's length.
+
+Results that wait for a watermark are complete once the stream is closed: after the data, an end marker (a row dated
+END) is sent through the same query, so that the watermark passes everything that waits.
 """
 
 from __future__ import annotations
@@ -16,10 +20,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tanpura.operators.analyze import analyze
 from tanpura.operators.compose import compose, rejected
 from tanpura.operators.notifications import REMOVE_DELAY
-from tanpura.session import shared_path
+from tanpura.session import settings, shared_path
 from tanpura.sources import tables
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Bytes of files that a micro-batch takes, and when an end marker is dated.
+BATCH_BYTES, END = 1 << 30, "timestamp'9000-01-01 00:00:00'"
 
 
 def stream(spark: SparkSession, folder: str, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -30,18 +36,34 @@ def stream(spark: SparkSession, folder: str, derive: Callable[[DataFrame], DataF
 def base_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table as a stream. The pattern stands for one file or one folder of files; a stream source takes no bare file."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{folder}/{name}[.]parquet")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(BATCH_BYTES)).parquet(f"{folder}/{name}[.]parquet")
 
 
-def run(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and read what it wrote."""
+def run(rows: DataFrame, name: str, out: str | None = None) -> DataFrame:
+    """Run a stream over what is there and read what it wrote; with the same out again, over what is new."""
     spark = rows.sparkSession
-    out = shared_path(spark, name)
-    query = rows.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    out = out or shared_path(spark, name)
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+        query = rows.writeStream.format("parquet").outputMode("append").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{out}/data")
 
 
+def run_to_end(spark: SparkSession, name: str, marker: dict[str, str], made: Callable[[Callable[[DataFrame], DataFrame]], DataFrame]) -> DataFrame:
+    """Run the stream that made builds, send an end marker (columns as SQL), and run it on from its checkpoint.
+
+    made gets a function that adds the markers to a stream with some of those columns. A marker that takes part in a join
+    needs a key: conditions that aren't on the event time, such as that keys aren't null, reach rows before the watermark.
+    """
+    out = shared_path(spark, name)
+    row = spark.range(1).select(*(F.expr(v).alias(k) for k, v in marker.items()))
+    row.limit(0).write.parquet(f"{out}/ends")
+    rows = made(lambda stream: stream.unionByName(spark.readStream.schema(row.schema).parquet(f"{out}/ends"), allowMissingColumns=True).select(*stream.columns))
+    run(rows, name, out)
+    row.write.mode("append").parquet(f"{out}/ends")
+    return run(rows, name, out)
+
+
 def stream_analyze(spark: SparkSession, folder: str) -> DataFrame:
     """Analysis of recordings as they arrive."""
     found = analyze(stream(spark, folder, tables.recordings))
@@ -74,26 +96,31 @@ def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class SessionState(StatefulProcessor):
-    """The events that set a session's file, analysis and composition; after each batch the state as it then is."""
+    """The events that set a session's file, analysis and composition; after each batch the state as it then is.
+
+    What is kept is the latest event of each kind, so that rows may come in any order and in parts.
+    """
+
+    KINDS = {"file": ("SELECT_FILE",), "found": ("ANALYZE_OK",), "cleared": ("SELECT_FILE", "RESET_ANALYSIS"), "composition": ("GENERATE_OK",)}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cells = handle.getValueState("cells", "file_event long, analysis_event long, composition_event long")
+        self.cells = handle.getValueState("cells", ", ".join(["seen long", *(f"{k}_us long, {k}_event long" for k in self.KINDS)]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        file, analysis, composition = self.cells.get() if self.cells.exists() else (None, None, None)
-        table = in_order(rows)
-        for event, action in zip(table["event_id"].tolist(), table["action"], strict=True):
-            if action == "SELECT_FILE":
-                file, analysis = event, None
-            elif action == "ANALYZE_OK":
-                analysis = event
-            elif action == "RESET_ANALYSIS":
-                analysis = None
-            elif action == "GENERATE_OK":
-                composition = event
-        self.cells.update((file, analysis, composition))
+        seen, *known = self.cells.get() if self.cells.exists() else (0, *(None,) * (2 * len(self.KINDS)))
+        latest = [tuple(known[i : i + 2]) if known[i] is not None else None for i in range(0, len(known), 2)]
+        for part in rows:
+            seen += len(part)
+            for i, actions in enumerate(self.KINDS.values()):
+                own = part[part["action"].isin(actions)]
+                if len(own):
+                    newest = own[own["us"] == own["us"].max()]
+                    latest[i] = max(filter(None, (latest[i], (int(newest["us"].iloc[0]), int(newest["event_id"].max())))))
+        self.cells.update((seen, *(x for pair in latest for x in (pair or (None, None)))))
+        file, found, cleared, composition = latest
+        analysis = found if found and (not cleared or found > cleared) else None
         cells = {"file_event": file, "analysis_event": analysis, "composition_event": composition}
-        yield pd.DataFrame({"session_id": [key[0]], "last_event": [int(table["event_id"].iloc[-1])]} | {k: pd.array([v], "Int64") for k, v in cells.items()})
+        yield pd.DataFrame({"session_id": [key[0]], "seen": [seen]} | {k: pd.array([v and v[1]], "Int64") for k, v in cells.items()})
 
     def close(self) -> None:
         pass
@@ -123,7 +150,10 @@ class InFlight(StatefulProcessor):
 
 
 class Expiry(StatefulProcessor):
-    """Drops a dismissed notification a fixed time after its first DISMISS, by an event-time timer."""
+    """Drops a dismissed notification a fixed time after its first DISMISS, by an event-time timer.
+
+    Where a session's next notification comes at that time or later within the same batch, the timer has run out before.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -131,18 +161,22 @@ class Expiry(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         toast, expires = self.shown.get() if self.shown.exists() else (None, None)
+        timer, ended = expires, []
         table = in_order(rows)
-        for action, named, ms in zip(table["action"], table["toast_id"], table["ms"].tolist(), strict=True):
+        for event, action, ms in zip(table["event_id"].tolist(), table["action"], table["ms"].tolist(), strict=True):
             if action == "ADD":
-                if expires is not None:
-                    self.handle.deleteTimer(expires)
-                toast, expires = int(named), None
-            elif action == "DISMISS" and toast is not None and expires is None and (pd.isna(named) or int(named) == toast):
+                if expires is not None and expires <= ms:
+                    ended.append((key[0], toast, expires))
+                toast, expires = int(event), None
+            elif action == "DISMISS" and toast is not None and expires is None:
                 expires = ms + REMOVE_DELAY
-                self.handle.registerTimer(expires)
+        if timer is not None and timer != expires:
+            self.handle.deleteTimer(timer)
+        if expires is not None and timer != expires:
+            self.handle.registerTimer(expires)
         if toast is not None:
             self.shown.update((toast, expires))
-        yield pd.DataFrame({"session_id": [], "toast_id": [], "expires_ms": []}).astype("int64")
+        yield pd.DataFrame(ended, columns=["session_id", "toast_id", "expires_ms"]).astype("int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         toast, expires = self.shown.get()
@@ -155,37 +189,46 @@ class Expiry(StatefulProcessor):
 
 def stream_session_state(spark: SparkSession, folder: str) -> DataFrame:
     """Each session's state after the last batch that had events of it."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    events = stream(spark, folder, tables.session_events)
-    states = events.groupBy("session_id").transformWithStateInPandas(SessionState(), "session_id long, last_event long, file_event long, analysis_event long, composition_event long", "Update", "None")
-    rows = run(states, "stream-session-state", "append")
-    return rows.groupBy("session_id").agg(F.max_by(F.struct("file_event", "analysis_event", "composition_event"), "last_event").alias("s")).select("session_id", "s.*")
+    events = stream(spark, folder, tables.session_events).select("event_id", "session_id", F.unix_micros("ts").alias("us"), "action")
+    states = events.groupBy("session_id").transformWithStateInPandas(SessionState(), "session_id long, seen long, file_event long, analysis_event long, composition_event long", "Append", "None")
+    rows = run(states, "stream-session-state")
+    return rows.groupBy("session_id").agg(F.max_by(F.struct("file_event", "analysis_event", "composition_event"), "seen").alias("s")).select("session_id", "s.*")
 
 
 def stream_in_flight(spark: SparkSession, folder: str, seconds: float = 6 * 3600) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     calls = stream(spark, folder, tables.analysis_calls).select("recording_id", "session_id", F.unix_micros("requested_at").alias("us"))
     return run(calls.groupBy("session_id").transformWithStateInPandas(InFlight(seconds), "recording_id long, session_id long, accepted boolean", "Append", "None"), "stream-in-flight")
 
 
 def stream_expiry(spark: SparkSession, folder: str) -> DataFrame:
-    """Notifications whose timer has run out by the end of the log: those that aren't alive there."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Notifications that were dismissed and expired before the session's next one came, or by the stream's end."""
     base = base_stream(spark, folder, "events")
-    # The latest ADD of a session is found by the state itself; an event names it, or all where its id is a tenth one.
+    # An event names the session's latest notification or all, which is the same here: the state holds one.
     action = F.expr("case event_type when 'view' then 'ADD' when 'click' then 'ADD' when 'purchase' then 'UPDATE' when 'signup' then 'DISMISS' else 'REMOVE' end")
-    toast = F.when(action == "ADD", F.col("event_id"))
-    events = base.select("event_id", F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), action.alias("action"), toast.alias("toast_id")).withColumn("ms", F.unix_millis("ts")).withWatermark("ts", "0 seconds")
-    return run(events.groupBy("session_id").transformWithStateInPandas(Expiry(), "session_id long, toast_id long, expires_ms long", "Append", "EventTime"), "stream-expiry")
+    events = base.select("event_id", F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), action.alias("action")).where("action in ('ADD', 'DISMISS')")
+
+    def made(closed) -> DataFrame:
+        # The marker goes after it has moved the watermark: a condition on the event time stays above it.
+        rows = closed(events).withColumn("ms", F.unix_millis("ts")).withWatermark("ts", "0 seconds").where(F.col("ts") < F.expr(END))
+        return rows.groupBy("session_id").transformWithStateInPandas(Expiry(), "session_id long, toast_id long, expires_ms long", "Append", "EventTime")
+
+    return run_to_end(spark, "stream-expiry", {"ts": END}, made)
 
 
 def stream_pending(spark: SparkSession, folder: str, hours: int = 14) -> DataFrame:
-    """Calls without a result within so many hours: an outer interval join of two streams."""
+    """Calls without a result within so many hours: an outer interval join of two streams, to the stream's end."""
     calls = stream(spark, folder, tables.analysis_calls)
-    asked = calls.select("recording_id", "session_id", "requested_at").withWatermark("requested_at", "0 seconds")
-    done = calls.where("completed_at is not null").select(F.col("recording_id").alias("done_id"), "completed_at").withWatermark("completed_at", "0 seconds")
-    near = (F.col("recording_id") == F.col("done_id")) & (F.col("completed_at") >= F.col("requested_at")) & (F.col("completed_at") <= F.col("requested_at") + F.expr(f"interval {hours} hours"))
-    return run(asked.join(done, near, "leftOuter"), "stream-pending").where("done_id is null").select("recording_id", "session_id")
+    asked = calls.select("recording_id", "session_id", F.col("requested_at").alias("at"))
+    done = calls.where("completed_at is not null").select(F.col("recording_id").alias("done_id"), F.col("completed_at").alias("at"))
+
+    def made(closed) -> DataFrame:
+        left = closed(asked).withColumnRenamed("at", "requested_at").withWatermark("requested_at", "0 seconds")
+        right = closed(done).withColumnRenamed("at", "completed_at").withWatermark("completed_at", "0 seconds")
+        near = (F.col("recording_id") == F.col("done_id")) & (F.col("completed_at") >= F.col("requested_at")) & (F.col("completed_at") <= F.col("requested_at") + F.expr(f"interval {hours} hours"))
+        return left.join(right, near, "leftOuter")
+
+    found = run_to_end(spark, "stream-pending", {"at": END, "recording_id": "-1L", "done_id": "-1L"}, made)  # the two markers meet
+    return found.where("done_id is null").select("recording_id", "session_id")
 
 
 def stream_distinct_requests(spark: SparkSession, folder: str) -> DataFrame:

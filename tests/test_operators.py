@@ -41,13 +41,13 @@ def test_tala_beats_agree_with_their_number(spark):
     assert {r["id"]: r["sections"] for r in rows}["rupak"] == 3
 
 
-@pytest.mark.parametrize("value,pct,level", [(0.594, 59, "low"), (0.595, 60, "medium"), (0.6, 60, "medium"), (0.794, 79, "medium"), (0.795, 80, "high"), (0.8, 80, "high"), (0.0, 0, "low"), (1.0, 100, "high")])
+@pytest.mark.parametrize("value,pct,level", [(None, None, "low"), (0.594, 59, "low"), (0.595, 60, "medium"), (0.6, 60, "medium"), (0.794, 79, "medium"), (0.795, 80, "high"), (0.8, 80, "high"), (0.0, 0, "low"), (1.0, 100, "high")])
 def test_confidence(spark, value, pct, level):
     assert column(spark, value, L.percent) == pct
     assert column(spark, value, L.level) == level
 
 
-@pytest.mark.parametrize("value,band", [(0, "Conservative"), (32, "Conservative"), (33, "Balanced"), (65, "Balanced"), (66, "Experimental"), (100, "Experimental")])
+@pytest.mark.parametrize("value,band", [(None, "Experimental"), (0, "Conservative"), (32, "Conservative"), (33, "Balanced"), (65, "Balanced"), (66, "Experimental"), (100, "Experimental")])
 def test_creativity(spark, value, band):
     assert column(spark, value, L.creativity_band, "int") == band
 
@@ -151,6 +151,22 @@ def test_timeline_round_trips(spark):
     assert {r["recording_id"]: r["tempo"] for r in tempos.collect()} == {0: 60, 1: 120, 2: 200}
 
 
+def test_first_cycles_of_a_timeline(spark):
+    rows = C.flat(C.compose(requests(spark, ("yaman", "rupak", "khayal", 60, 60, 50), ("yaman", "teental", "khayal", 40, 15, 50))))
+    whole = sorted(map(tuple, D.timeline(rows).where("cycle < 2").collect()))
+    assert sorted(map(tuple, D.timeline(rows, cycles=2).collect())) == whole and len(whole) == 14 + 10
+
+
+def test_stale_results_of_a_long_session(spark):
+    """Against a plain search; the session is long enough to show a cost that grows with its square."""
+    n, at = 20_000, datetime(2024, 1, 1)
+    calls = spark.range(n).selectExpr("id as recording_id", "1L as session_id", "timestamp_micros(1704067200000000 + id * 1000000) as requested_at", "timestamp_micros(1704067200000000 + (id + id % 7) * 1000000) as completed_at")
+    chosen = spark.range(n).where("id % 5 = 0").selectExpr("id as event_id", "1L as session_id", "timestamp_micros(1704067200000000 + id * 1000000) as ts", "'SELECT_FILE' as action")
+    odd = spark.createDataFrame([(n, 1, at, None), (n + 1, 1, None, at), (n + 2, None, at, at)], "recording_id long, session_id long, requested_at timestamp, completed_at timestamp")
+    got = sorted(r["recording_id"] for r in S.stale_results(calls.union(odd), chosen).collect())
+    assert got == [i for i in range(n) if any(j % 5 == 0 and j < n - n % 5 for j in range(i + 1, i + i % 7 + 1))]
+
+
 def test_timeline_of_no_beats_is_empty(spark):
     assert D.timeline(C.flat(C.compose(requests(spark, ("yaman", "rupak", "khayal", 40, 0, 50))))).count() == 0
 

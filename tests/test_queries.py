@@ -33,8 +33,8 @@ def test_query_equals_sql(spark, small, con, name):
     same(queries()[name](spark, small).toPandas(), con.sql(oracle_sql()[name]).df())
 
 
-def test_every_query_but_two_streams_has_sql():
-    assert set(queries()) - set(oracle_sql()) == {"stream_pending", "stream_expiry"}
+def test_every_query_has_sql():
+    assert set(queries()) == set(oracle_sql())
 
 
 def test_entry(spark):
