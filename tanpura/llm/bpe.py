@@ -23,13 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tanpura.llm.common import small_batches, text_bytes
+from tanpura.llm.common import in_arrow, mapped, quoted, small_batches
 
-#: Pieces that a worker's memo holds before it's emptied.
-MEMO_PIECES = 200_000
-#: Bytes of text that are encoded before their tokens are handed on.
-GROUP_BYTES = 2 << 20
+#: Pieces, and code points in them, that a worker's memo holds before it's emptied.
+MEMO_PIECES, MEMO_CHARS = 200_000, 16 << 20
 
 
 def byte_table() -> dict[int, str]:
@@ -82,6 +81,7 @@ class ByteBPE:
         bytes_of = [b""] * (1 + max(vocabulary.values()))
         for token, i in vocabulary.items():
             bytes_of[i] = token.encode() if i in added else bytes(to_byte[c] for c in token)
+        self.ordinary = set(vocabulary.values()) - added
         self.bytes = Slices(np.uint8)
         self.bytes.extend(bytes_of)
         self.begun = np.array([sum(b & 0xC0 != 0x80 for b in x) for x in bytes_of])
@@ -89,17 +89,19 @@ class ByteBPE:
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
+        self.memo_chars = 0
         self.tokens = Slices(np.int32)
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids one after the other, and where each text ends, from 0 on."""
         pieces = [self.pattern.findall(t) for t in texts]
-        if len(self.memo) > MEMO_PIECES:
+        if len(self.memo) > MEMO_PIECES or self.memo_chars > MEMO_CHARS:
             self.forget()
         memo = self.memo
         if new := list(set().union(*pieces).difference(memo)):
             self.tokens.extend([x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
             memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
+            self.memo_chars += sum(map(len, new))
         counts = [0, *itertools.accumulate(map(len, pieces))]
         numbers = np.fromiter(map(memo.__getitem__, itertools.chain.from_iterable(pieces)), np.int64, counts[-1])
         ids, ends = self.tokens.strung(numbers)
@@ -131,17 +133,6 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
-def groups(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of a batch whose values in column have GROUP_BYTES or little more."""
-    values = batch.column(column).to_pylist()
-    start = held = 0
-    for i, v in enumerate(values):
-        held += len(v)
-        if held >= GROUP_BYTES or i == len(values) - 1:
-            yield batch.slice(start, i + 1 - start), values[start : i + 1]
-            start, held = i + 1, 0
-
-
 def as_binary(raw: np.ndarray, stops: np.ndarray) -> pa.Array:
     """Bytes one after the other, and where each value ends, as an Arrow array."""
     return pa.Array.from_buffers(pa.binary(), len(stops) - 1, [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(raw)])
@@ -153,40 +144,33 @@ def encode(df: DataFrame, text: str = "text", vocabulary: tuple[str, str] | None
     decoded adds what decode() would, in the same pass: one Python worker instead of two for each task.
     """
     path, pattern = vocabulary or default_vocabulary()
-    small_batches(df.sparkSession)
-    outs = ["token_ids", *(["byte_offsets", "char_offsets"] if offsets else [])]
-    outs += ["decoded"] if decoded else []
-    others = [c for c in df.columns if c not in (text, *outs)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(others).schema), *(f"{c} {'binary' if c == 'decoded' else 'array<int>'}" for c in outs)])
+    outs = ["token_ids array<int>", *(["byte_offsets array<int>", "char_offsets array<int>"] if offsets else []), *(["decoded binary"] if decoded else [])]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(values: list[bytes]) -> list[pa.Array]:
         bpe = loaded(path, pattern)
-        for batch in batches:
-            for part, values in groups(batch, "__text"):
-                ids, ends = bpe.encode([v.decode("utf-8", "replace") for v in values])
-                made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
-                made += [pa.array(m, pa.list_(pa.int32())) for m in (bpe.offsets(ids, ends) if offsets else ())]
-                made += [as_binary(*bpe.decode(ids, ends))] if decoded else []
-                yield pa.record_batch([*(part.column(c) for c in others), *made], names=[*others, *outs])
+        ids, ends = bpe.encode([v.decode("utf-8", "replace") for v in values])
+        made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
+        made += [pa.array(m, pa.list_(pa.int32())) for m in (bpe.offsets(ids, ends) if offsets else ())]
+        return made + ([as_binary(*bpe.decode(ids, ends))] if decoded else [])
 
-    return df.select(*others, text_bytes(text).alias("__text")).mapInArrow(run, schema)
+    return mapped(df, text, ", ".join(outs), make)
 
 
 def decode(df: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """df with decoded binary: the bytes that token_ids stand for. decoded.cast("string") is the text."""
     path, pattern = vocabulary or default_vocabulary()
     small_batches(df.sparkSession)
-    names = [c for c in df.columns if c != "decoded"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(names).schema), "decoded binary"])
+    names = [c for c in df.columns if c.lower() != "decoded"]
+    schema = StructType([*(df.schema[c] for c in names), StructField("decoded", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         for batch in batches:
             lists = batch.column("token_ids")
             ids, ends = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]).astype(np.int64)
-            yield pa.record_batch([*(batch.column(c) for c in names), as_binary(*bpe.decode(ids, ends))], names=[*names, "decoded"])
+            yield pa.record_batch([*(batch.column(c) for c in names), as_binary(*bpe.decode(ids, ends))], names=schema.names)
 
-    return df.select(names).mapInArrow(run, schema)
+    return in_arrow(df.select(*(F.col(quoted(c)) for c in names)), run, schema)
 
 
 def digests(df: DataFrame) -> DataFrame:

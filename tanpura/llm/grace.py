@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tanpura.llm.common import Rows, small_batches, stored, text_bytes
+from tanpura.llm.common import Rows, one_of_each, small_batches, stored, text_bytes
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes of content that a table holds, and rows that one record stands for at most.
@@ -176,11 +176,17 @@ def exact_duplicates(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFra
     )
 
 
+def identity(doc_id: int | None, text: bytes) -> bytes:
+    """What rows that may stand for each other share: id, content and code points."""
+    known = b"" if doc_id is None else b"%d" % doc_id
+    return hashlib.sha256(b"%s|%d|" % (known, len(text) - count_tails(text)) + hashlib.sha256(text.translate(None, WHITE)).digest()).digest()
+
+
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat a doc_id and text one stays."""
-    identity = lambda doc_id, sha, n: F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), sha, n.cast("string"))
-    kept = exact_duplicates(docs).where("kept").select(identity(F.col("doc_id"), F.col("text_sha256"), F.col("n_chars")).alias("__row"))
-    whole = F.coalesce("text", F.lit(""))
-    bare = F.regexp_replace(whole, r"[\x20\x09-\x0D]", "")
-    own = docs.withColumn("__row", identity(F.col("doc_id"), F.sha2(bare, 256), F.length(whole)))
-    return own.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    """The rows of docs that stay, with all their columns and their bytes; of rows that repeat a doc_id and text one stays.
+
+    Texts are compared as bytes throughout, so that those that aren't UTF-8 are kept like any other.
+    """
+    parts = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("n_chars").cast("string"), F.lit("|"))
+    kept = exact_duplicates(docs).where("kept").select(F.unhex(F.sha2(F.concat(parts.cast("binary"), F.unhex("text_sha256")), 256)))
+    return one_of_each(docs, kept, identity)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tanpura.llm.common import Rows, small_batches, text_bytes
+from tanpura.llm.common import Rows, mapped, small_batches, text_bytes
 
 K, SKETCHES, TUPLE = 12, 64, 2
 #: Elements of the matrix of hashes that is held at once.
@@ -109,16 +109,7 @@ def written(fingerprint: np.ndarray) -> str:
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs' columns but the text, with fingerprint."""
-    small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in (text, "fingerprint")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema), "fingerprint string"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [written(sketch(t.decode("utf-8", "replace"))) for t in batch.column("__text").to_pylist()]
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(made, pa.string())], names=[*names, "fingerprint"])
-
-    return docs.select(*names, text_bytes(text).alias("__text")).mapInArrow(run, schema)
+    return mapped(docs, text, "fingerprint string", lambda values: [pa.array([written(sketch(t.decode("utf-8", "replace"))) for t in values], pa.string())])
 
 
 def with_ranges(docs: DataFrame, ranges: int) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tanpura.llm.common import Rows, small_batches, small_side, stored, text_bytes
+from tanpura.llm.common import Rows, one_of_each, small_batches, small_side, stored, text_bytes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands times rows: a pair of similarity 0.8 shares a band with probability 0.9999.
@@ -337,16 +337,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return ids.join(stored(classes, "classes"), "label").select("doc_id", "class_id", "class_size", kept.alias("kept"), "key")
 
 
-def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that stay, one of each class, with all their columns."""
-    small_batches(docs.sparkSession)
-    kept = near_duplicates(docs, least).where("kept").select("doc_id", "key").distinct()
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__row binary"])
+def identity(doc_id: int | None, text: bytes) -> bytes:
+    """What rows that may stand for each other share: id and words."""
+    return (b"None|" if doc_id is None else b"%d|" % doc_id) + key_of(words_of(text))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [f"{i}|".encode() + key_of(words_of((t or "").encode())) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            yield pa.record_batch([*batch.columns, pa.array(rows, pa.binary())], names=[*batch.schema.names, "__row"])
 
+def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that stay, one of each class, with all their columns and their bytes, UTF-8 or not."""
+    kept = near_duplicates(docs, least).where("kept")
     row = F.concat(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), F.lit("|")).cast("binary"), F.col("key"))
-    return docs.mapInArrow(run, schema).join(kept.select(row.alias("__row")), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    return one_of_each(docs, kept.select(row), identity)

@@ -5,7 +5,8 @@ FEATURES cosines whose products approximate a Gaussian kernel. Each partition su
 for each of FOLDS folds; the sums are added up in two levels, and the driver solves systems of FEATURES + 1 unknowns.
 Scores of rows by the models that didn't see their fold are binned (BINS) and calibrated by pooling adjacent violators.
 
-Defined cases: null and empty texts have the statistics of an empty text and a score like any other; labels that are
+Defined cases: null and empty texts have the statistics of an empty text and a score like any other; texts
+that aren't UTF-8 are scored by their bytes; labels that are
 null or whose doc_id is null or without a document are ignored, repeated labels of a document are averaged; without
 labelled rows every score is 0.5; repeated rows give repeated rows; an empty table gives an empty result; other
 columns pass through.
@@ -22,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tanpura.llm.common import small_batches, text_bytes
+from tanpura.llm.common import fresh, in_arrow, mapped, quoted
 
 FEATURES, FOLDS, BINS, RIDGE, BANDWIDTH = 256, 5, 200, 1.0, 4.0
 SALTS = 16
@@ -65,16 +67,7 @@ def statistics(raw: bytes) -> list[float]:
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without its text, with stats array<float>."""
-    small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in (text, "stats")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema), "stats array<float>"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [statistics(t) for t in batch.column("__text").to_pylist()]
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(made, pa.list_(pa.float32()))], names=[*names, "stats"])
-
-    return docs.select(*names, text_bytes(text).alias("__text")).mapInArrow(run, schema)
+    return mapped(docs, text, "stats array<float>", lambda values: [pa.array([statistics(t) for t in values], pa.list_(pa.float32()))])
 
 
 class Model:
@@ -175,17 +168,17 @@ def fit(labelled: DataFrame) -> Model:
         known.unpersist()
 
 
-def scored(rows: DataFrame, model: Model) -> DataFrame:
-    """rows (with stats) with score in place of stats."""
-    names = [c for c in rows.columns if c not in ("stats", "score")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(names).schema), "score double"])
+def scored(rows: DataFrame, model: Model, score: str = "score") -> DataFrame:
+    """rows (with stats) with the score in place of stats."""
+    names = [c for c in rows.columns if c.lower() not in ("stats", score.lower())]
+    schema = StructType([*(rows.schema[c] for c in names), StructField(score, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = model.score(matrix(batch.column("stats")))
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(made, pa.float64())], names=[*names, "score"])
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(made, pa.float64())], names=schema.names)
 
-    return rows.select(*names, "stats").mapInArrow(run, schema)
+    return in_arrow(rows.select(*(F.col(quoted(c)) for c in names), "stats"), run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -193,26 +186,28 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def usable(labels: DataFrame, column: str = "quality") -> DataFrame:
+    """doc_id and label of the documents whose label may be learned from."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.avg(F.col(column).cast("double")).alias("label"))
+
+
 def labelled(stats: DataFrame, labels: DataFrame, column: str = "quality") -> DataFrame:
     """Statistics of the documents with a label that may be learned from."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.avg(F.col(column).cast("double")).alias("label"))
-    return stats.select("doc_id", "stats").join(known, "doc_id")
+    return stats.select("doc_id", "stats").join(usable(labels, column), "doc_id")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with all their columns."""
-    model = fit(labelled(with_statistics(docs.select("doc_id", "text")), labels))
-    return rated(docs, model).where(F.col("__score") >= threshold).select(*docs.columns)
-
+    """The rows of docs whose score reaches the threshold, with all their columns.
 
-def rated(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with __score, in one pass and without a shuffle."""
-    small_batches(docs.sparkSession)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__score double"])
+    Labels meet their documents before statistics are made, so that no other document is read in full for the fit.
+    """
+    known = docs.select("doc_id", "text").join(usable(labels), "doc_id")
+    model = fit(with_statistics(known))
+    score = fresh("score", docs.columns)
+    kept = rated(docs, model, score).where(F.col(score) >= threshold)
+    return kept.select(*(F.col(quoted(c)) for c in docs.columns))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stats = np.array([statistics((t or "").encode()) for t in batch.column("text").to_pylist()], np.float32).astype(np.float64)
-            yield pa.record_batch([*batch.columns, pa.array(model.score(stats), pa.float64())], names=[*batch.schema.names, "__score"])
 
-    return docs.mapInArrow(run, schema)
+def rated(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
+    """docs with its score, in one pass and without a shuffle."""
+    return mapped(docs, "text", f"{quoted(score)} double", lambda values: [pa.array(model.score(np.array([statistics(t) for t in values], np.float32).astype(np.float64)), pa.float64())], keep_text=True)

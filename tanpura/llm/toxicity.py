@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tanpura.llm.common import Rows, small_batches, text_bytes
+from tanpura.llm.common import Rows, mapped, quoted, small_batches, text_bytes
 
 FIT_ROWS, WORDS, FOLDS, RIDGE = 20_000, 256, 5, 0.02
 LEAST_DOCUMENTS = 3
@@ -151,16 +151,11 @@ def _gain(inside, n, n_in: float, total: float):
 
 def toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """docs without the text, with p_<category> for each category and toxic: whether the last one's reaches the threshold."""
-    small_batches(docs.sparkSession)
     outs = [f"p_{c}" for c in chain.categories]
-    names = [c for c in docs.columns if c not in ("text", "toxic", *outs)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(names).schema), *(f"`{o}` double" for o in outs)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([chain.rates(t) for t in batch.column("__text").to_pylist()]).reshape(batch.num_rows, -1)
-            p = chain.predict(x)
-            yield pa.record_batch([*(batch.column(c) for c in names), *(pa.array(p[:, i], pa.float64()) for i in range(len(outs)))], names=[*names, *outs])
+    def make(values: list[bytes]) -> list[pa.Array]:
+        p = chain.predict(np.array([chain.rates(t) for t in values]).reshape(len(values), -1))
+        return [pa.array(p[:, i], pa.float64()) for i in range(len(outs))]
 
-    rated = docs.select(*names, text_bytes().alias("__text")).mapInArrow(run, schema)
-    return rated.withColumn("toxic", (F.col(outs[-1]) >= threshold).cast("int"))
+    rated = mapped(docs, "text", ", ".join(f"{quoted(o)} double" for o in outs), make)
+    return rated.withColumn("toxic", (F.col(quoted(outs[-1])) >= threshold).cast("int"))
