@@ -2,7 +2,8 @@
 
 The page is cut into lines at block-level tags. Lines of menus, headers, footers, sidebars, notices, adverts, forms
 and comments (by element, role, or a word of class or id) are left out; a class or id doesn't count for an element that
-encloses the page's only article or most of its text. The lengths of the other lines, 0 for those that are mostly links,
+encloses the page's only article or most of its text, nor for a paragraph, list item or other element of text that is
+long enough to be the article's. The lengths of the other lines, 0 for those that are mostly links,
 are summed over windows of WINDOW lines: a surge is a line of text whose window's sum rises from 0, a dive is where the
 sum falls back to 0. All lines between surge and dive are kept, for every stretch whose window reaches SURGE code points
 (for the one with the most text, if none does).
@@ -11,7 +12,9 @@ Marks of an article adjust lengths and bounds only: where marked lines hold at l
 lengths are 0, and what is kept of an article is extended to its ends. Otherwise (teasers in articles) marks aren't
 used; what is kept of an element that holds lines (div, section, td) is extended to its first and last line of text.
 
-Defined cases: null html and pages without text give the empty text; markup may be cut off anywhere, elements may be
+A page is read once from left to right: its cost is in proportion to its length, however deep or broken the markup.
+
+Defined cases: null html and pages without text give the empty text; bytes that aren't UTF-8 are replaced by U+FFFD; markup may be cut off anywhere, elements may be
 unclosed; character references are decoded once, also those without a semicolon; repeated rows give repeated rows; an
 empty table gives an empty result; other columns pass through, those named as outputs are replaced.
 """
@@ -20,15 +23,13 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tanpura.llm.common import small_batches
+from tanpura.llm.common import mapped
 
 WINDOW, SURGE, LINKS, MOST = 3, 80, 0.5, 0.5
 
@@ -37,6 +38,7 @@ SKIPPED = frozenset("script style noscript template svg math iframe object canva
 BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 ARTICLE = frozenset("article main".split())
 HOLDERS = frozenset("div section td article main".split())
+TEXTUAL = frozenset("p li dd dt h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption td th span b i em strong".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -50,7 +52,8 @@ COMMENT = re.compile(r"(?:^|[\s_-])(?:comment|comments|reply|replies)(?:$|[\s_-]
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.DOTALL)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAMES = frozenset("class id role hidden aria-hidden".split())
 SPACE = re.compile(r"\s+")
 
 
@@ -59,18 +62,16 @@ NO, ALL, WORD, COMMENTS = range(4)
 
 
 def boilerplate(name: str, attributes: str) -> int:
-    """Whether an element is one of menus, adverts and the like."""
+    """Whether an element is one of menus, adverts and the like. Attributes count by their own names."""
     if name in BOILERPLATE:
         return ALL
     if not attributes or name in ("body", "html"):
         return NO
-    found = ATTRIBUTE.findall(attributes)
+    found = [(key.lower(), a or b or c) for key, a, b, c in ATTRIBUTE.findall(attributes) if key.lower() in NAMES]
     if name in ARTICLE:
-        return ALL if any(COMMENT.search(a or b or c) for _, a, b, c in found) else NO
+        return ALL if any(key in ("class", "id") and COMMENT.search(value) for key, value in found) else NO
     by = NO
-    for key, *values in found:
-        value = next(filter(None, values), "")
-        key = key.lower()
+    for key, value in found:
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return ALL
         if key in ("class", "id") and MARKS.search(value):
@@ -82,7 +83,7 @@ class Line(NamedTuple):
     text: str
     linked: int  # code points in links
     bad: bool  # in boilerplate whatever the page holds
-    words: tuple[tuple[int, int], ...]  # elements that are boilerplate by class or id: number, WORD or COMMENTS
+    mark: int  # place of the innermost mark, or -1
     article: int  # number of the outermost article, or 0
     holder: int  # number of the innermost of HOLDERS, or 0
 
@@ -91,30 +92,56 @@ class Line(NamedTuple):
         return len(self.text) if self.linked <= LINKS * len(self.text) else 0
 
 
-def lines_of(page: str) -> list[Line]:
-    """The page's lines."""
+class Mark(NamedTuple):
+    """An element that is boilerplate by class or id."""
+
+    number: int
+    kind: int
+    textual: bool
+    outer: int  # place of the mark that encloses it, or -1
+
+
+class Open(NamedTuple):
+    """An open element."""
+
+    name: str
+    kind: int
+    number: int
+    article: bool
+    holder: int  # those outside it, to go back to
+    mark: int
+    barrier: int
+
+
+def lines_of(page: str) -> tuple[list[Line], list[Mark]]:
+    """The page's lines, and the elements that are boilerplate by class or id."""
     lines: list[Line] = []
-    stack: list[tuple[str, int, bool, int]] = []  # open elements: name, whether boilerplate, whether article, number
+    marks: list[Mark] = []
+    stack: list[Open] = []
+    open_now: dict[str, int] = {}
+    unclosed: set[str] = set()  # skipped elements whose end tag doesn't come any more
     parts: list[str] = []
-    linked = bad = good = link = opened = 0
+    articles: list[int] = []
+    linked = bad = opened = holder = 0
+    mark = barrier = -1  # barrier: place in the stack of the innermost p or element that ends one
 
     def end_line() -> None:
         nonlocal linked
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                words = tuple((i, b) for _, b, _, i in stack if b in (WORD, COMMENTS))
-                article = next((i for _, _, g, i in stack if g), 0) if good else 0
-                lines.append(Line(text, linked, bad > 0, words, article, next((i for n, _, _, i in reversed(stack) if n in HOLDERS), 0)))
+                lines.append(Line(text, linked, bad > 0, mark, articles[0] if articles else 0, holder))
             parts.clear()
         linked = 0
 
     def close(i: int) -> None:
-        nonlocal bad, good, link
-        for name, was_bad, was_good, _ in reversed(stack[i:]):
-            bad -= was_bad == ALL
-            good -= was_good
-            link -= name == "a"
+        nonlocal bad, holder, mark, barrier
+        for e in reversed(stack[i:]):
+            bad -= e.kind == ALL
+            open_now[e.name] -= 1
+            if e.article:
+                articles.pop()
+        holder, mark, barrier = stack[i].holder, stack[i].mark, stack[i].barrier
         del stack[i:]
 
     at, n = 0, len(page)
@@ -123,7 +150,7 @@ def lines_of(page: str) -> list[Line]:
         text = page[at : m.start() if m else n]
         if text:
             parts.append(text)
-            linked += len(text) if link else 0
+            linked += len(text) if open_now.get("a") else 0
         if not m:
             break
         at = m.end()
@@ -137,61 +164,76 @@ def lines_of(page: str) -> list[Line]:
         if name not in INLINE:
             end_line()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
+            if open_now.get(name):
+                i = len(stack) - 1
+                while stack[i].name != name:
+                    i -= 1
+                close(i)
             continue
         if name in SKIPPED:
-            if not attributes.endswith("/"):
+            if not attributes.endswith("/") and name not in unclosed:
                 stop = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-                at = stop.end() if stop else (n if name in ("script", "style") else at)
+                if stop:
+                    at = stop.end()
+                elif name in ("script", "style"):
+                    at = n
+                else:
+                    unclosed.add(name)
             continue
-        if name in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in CLOSES_P:
-                    break
+        if name in CLOSES_P and barrier >= 0 and stack[barrier].name == "p":
+            close(barrier)
         if name not in VOID and not attributes.endswith("/"):
-            own_bad = boilerplate(name, attributes)
-            own_good = name in ARTICLE and not own_bad
-            if name == "header" and good:
-                own_bad = NO  # an article's own heading
+            kind = boilerplate(name, attributes)
+            if name == "header" and articles:
+                kind = NO  # an article's own heading
             opened += 1
-            stack.append((name, own_bad, own_good, opened))
-            bad += own_bad == ALL
-            good += own_good
-            link += name == "a"
+            article = name in ARTICLE and not kind
+            stack.append(Open(name, kind, opened, article, holder, mark, barrier))
+            open_now[name] = open_now.get(name, 0) + 1
+            bad += kind == ALL
+            if article:
+                articles.append(opened)
+            if name in HOLDERS:
+                holder = opened
+            if name == "p" or name in CLOSES_P:
+                barrier = len(stack) - 1
+            if kind in (WORD, COMMENTS):
+                marks.append(Mark(opened, kind, name in TEXTUAL, mark))
+                mark = len(marks) - 1
     end_line()
-    return lines
+    return lines, marks
 
 
-def without_boilerplate(lines: list[Line]) -> list[Line]:
-    """The lines outside boilerplate. Class and id don't count for elements that enclose the only article or most of the text."""
+def without_boilerplate(lines: list[Line], marks: list[Mark]) -> list[Line]:
+    """The lines outside boilerplate. Class and id don't count for elements that enclose the only article or most of the text, nor for long text."""
     lines = [x for x in lines if not x.bad]
-    inside: dict[tuple[int, int], list[Line]] = {}
-    for x in lines:
-        for e in x.words:
-            inside.setdefault(e, []).append(x)
-    if not inside:
+    if not marks:
         return lines
-    total, rest = sum(x.length for x in lines), sum(x.length for x in lines if not x.words)
-    marked = any(x.article and not x.words for x in lines)
-    wraps = set()
-    for e, held in inside.items():
-        text = sum(x.length for x in held)
-        most = text > MOST * total and text >= SURGE and (e[1] == WORD or rest < SURGE) and (not marked or len(held) >= WINDOW)
+    text, held, article = [0] * len(marks), [0] * len(marks), [0] * len(marks)
+    for x in lines:
+        if x.mark >= 0:
+            text[x.mark] += x.length
+            held[x.mark] += 1
+            article[x.mark] = max(article[x.mark], x.article)
+    for i in range(len(marks) - 1, -1, -1):  # inner ones come later
+        if (outer := marks[i].outer) >= 0:
+            text[outer] += text[i]
+            held[outer] += held[i]
+            article[outer] = max(article[outer], article[i])
+    total, rest = sum(x.length for x in lines), sum(x.length for x in lines if x.mark < 0)
+    marked = any(x.article and x.mark < 0 for x in lines)
+    counts: list[bool] = []
+    for i, e in enumerate(marks):
+        most = text[i] > MOST * total and text[i] >= SURGE and (e.kind == WORD or rest < SURGE) and (not marked or held[i] >= WINDOW)
         # An article that the element encloses, rather than one that encloses it, has the larger number.
-        if most or not marked and any(x.article > e[0] for x in held):
-            wraps.add(e)
-    return [x for x in lines if wraps.issuperset(x.words)]
+        wraps = most or not marked and article[i] > e.number or e.textual and e.kind == WORD and text[i] >= SURGE
+        counts.append(not wraps or e.outer >= 0 and counts[e.outer])
+    return [x for x in lines if x.mark < 0 or not counts[x.mark]]
 
 
 def main_text(page: str | None) -> str:
     """The main text: its lines joined by an empty line."""
-    lines = without_boilerplate(lines_of(page or ""))
+    lines = without_boilerplate(*lines_of(page or ""))
     if not lines:
         return ""
     length = np.array([x.length for x in lines])
@@ -228,13 +270,8 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, markup: str = "html") -> DataFrame:
     """pages without the markup, with text and n_chars."""
-    small_batches(pages.sparkSession)
-    names = [c for c in pages.columns if c not in (markup, "text", "n_chars")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(names).schema), "text string", "n_chars bigint"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [main_text(p.decode("utf-8", "replace")) for p in batch.column("__html").to_pylist()]
-            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())], names=[*names, "text", "n_chars"])
+    def make(values: list[bytes]) -> list[pa.Array]:
+        made = [main_text(v.decode("utf-8", "replace")) for v in values]
+        return [pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())]
 
-    return pages.select(*names, F.coalesce(F.col(markup).cast("binary"), F.lit(b"")).alias("__html")).mapInArrow(run, schema)
+    return mapped(pages, markup, "text string, n_chars bigint", make)

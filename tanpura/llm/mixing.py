@@ -2,18 +2,21 @@
 
 A source's documents are dealt into BLOCKS blocks by a hash of their id. A source is taken as many whole times as its
 target holds, and once more in part: blocks in hash order until the target is reached, where the last document is
-taken in part. Each time a block is taken is a slot. The slots of all sources are shared out among the output shards
-by a tree: at each node, half of the slots go to the left, and how many of those each source gives is drawn from the
-multivariate hypergeometric distribution, source after source, so that every shard gets whole numbers of slots that
-add up to each source's quota. Then each source's slots, permuted by hash, are dealt to the shards as those numbers
-say, and rows are shuffled within a shard by hash.
+taken in part. Each time a block is taken is a slot; a source's number of slots is its quota. The quotas of all sources
+are shared out among the output shards by a tree: at each node, half of the slots go to the left, and how many of those
+each source gives is drawn from the multivariate hypergeometric distribution, so that every shard gets whole numbers of
+slots that add up to each source's quota. Then each source's slots, permuted by hash, are dealt to the shards as those
+numbers say (so no two shards have the same slot), and a shard's documents are shuffled by hash.
 
-What is gathered in one row or task: numbers of slots for each source at a tree node, and at most 4 * BLOCKS slots of
-a source. Documents meet by (source, block), so a hot source is spread over its blocks.
+At a node, a source's part is drawn given what the sources before it gave. Beyond FAN sources, that is done for groups
+of sources first and then within each group, so that one row holds FAN numbers whatever the number of sources.
+
+Documents meet by (source, block), so a hot source is spread over its blocks. Sources are numbered by ranges and capped
+by repeated sums; no task gets all of them.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source, the last one; a null doc_id is
 allowed; equal rows share the hash and may swap places; an empty table gives an empty result. Columns of the input
-that clash with output columns are replaced.
+that clash with output columns are replaced; those that clash with helpers aren't touched.
 """
 
 from __future__ import annotations
@@ -22,10 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCKS, SHARDS = 1024, 16
+from tanpura.llm.common import fresh, quoted, stored
+
+BLOCKS, SHARDS, FAN = 1024, 16, 64
 WEIGHTS, MOST = (1, 2, 3), 3
 WORDS = r"[^\x20\x09-\x0D]+"
-UNIT = float(1 << 53)
+#: A document at the end of a source's part is taken whole or not at all, unless that misses the target by more than this share.
+MISS = 0.05
 
 
 def size_of(text: str = "text") -> Column:
@@ -37,31 +43,56 @@ def source_key(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
 
+def hashed(*parts) -> Column:
+    """A hash of the parts, of 32 hexadecimal digits."""
+    return F.md5(F.concat_ws(":", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts)).cast("binary"))
+
+
+def fraction(digits: Column, n: int) -> Column:
+    """The first n hexadecimal digits as a number from 0 to under 1."""
+    return F.conv(F.substring(digits, 1, n), 16, 10).cast("long") / F.lit(16**n)
+
+
 def order_key(doc_id: str = "doc_id", seed: int = 0) -> Column:
     """A hash of the id that gives the permuted order and, by its first digits, the block."""
-    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
+    return hashed(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), seed)
 
 
 def block_of(key: Column) -> Column:
-    return F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * BLOCKS / F.lit(1 << 32)).cast("int")
+    return F.floor(fraction(key, 8) * BLOCKS).cast("int")
+
+
+def before(column: str, *keys: str, order: tuple = ()) -> Column:
+    """The sum of a column's values in the rows before, within keys."""
+    return F.coalesce(F.sum(column).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """(key, source_size) with source_no from 1 on, by key with the empty one last: by ranges, and within each of them."""
+    last = sources.withColumn("last", F.col("key") == "")
+    ranges = stored(last.repartitionByRange("last", "key").withColumn("range", F.spark_partition_id()), "mix-sources")
+    sizes = ranges.groupBy("range").agg(F.count("*").alias("n"))  # a row for each range
+    first = sizes.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    no = F.col("first") + F.row_number().over(W.partitionBy("range").orderBy("last", "key"))
+    return ranges.join(F.broadcast(first), "range").select("key", "source_size", no.cast("int").alias("source_no"))
 
 
 def targets(sources: DataFrame) -> DataFrame:
-    """Adds source_no, weight and target to (key, source_size): shares of all words by weight, at most MOST times a source's size."""
-    w = W.orderBy("key_last", "key")
-    ranked = sources.withColumn("key_last", F.col("key") == "").withColumn("source_no", F.row_number().over(w))
+    """Adds source_no, weight and target to (key, source_size): shares of all words by weight, at most MOST times a source's size.
+
+    The level is what sources get for each unit of weight. Sources that it would bring above their cap get the cap, and
+    the level of the others rises, until no more are capped: a job of four sums for each rise.
+    """
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("source_no") - 1) % len(WEIGHTS) + 1).cast("int"))
-    ranked = ranked.withColumn("weight", weight.cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(MOST)))
-    # Sources reach their cap in the order of cap / weight; the level is what the others then get for each unit of weight.
-    by = W.orderBy(F.col("cap") / F.col("weight"), "source_no")
-    before, after = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(0, W.unboundedFollowing)
-    total = F.sum("source_size").over(W.partitionBy(F.lit(0))).cast("double")
-    level = ranked.withColumn("left", total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("rest", F.sum("weight").over(after))
-    level = level.withColumn("capped", F.col("weight") * F.col("left") / F.col("rest") > F.col("cap"))
-    free = F.when(~F.col("capped"), F.struct("left", "rest"))
-    first = F.first(free, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * F.col("first.left") / F.col("first.rest"))
-    return level.withColumn("first", first).select("key", "source_size", "source_no", "weight", target.alias("target"))
+    ranked = stored(numbered(sources).withColumn("weight", weight.cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(MOST))), "mix-weights")
+    share, known = None, -1
+    while True:
+        capped = F.lit(False) if share is None else share > F.col("cap")
+        row = ranked.agg(F.sum("source_size").cast("double").alias("total"), F.sum(F.when(capped, F.col("cap"))).alias("caps"), F.sum(F.when(~capped, F.col("weight"))).alias("rest"), F.count_if(capped).alias("n")).first()
+        if row["n"] == known:
+            break
+        share, known = F.col("weight") * F.lit((row["total"] or 0.0) - (row["caps"] or 0.0)) / F.lit(row["rest"] or 1.0), row["n"]
+    return ranked.select("key", "source_size", "source_no", "weight", F.least(share, F.col("cap")).alias("target"))
 
 
 def ln_factorial(x: Column) -> Column:
@@ -87,87 +118,130 @@ def hypergeometric(u: Column, good: Column, total: Column, drawn: Column) -> Col
     return F.aggregate(F.sequence(low, high), state, step, lambda a: a["k"])
 
 
-def split(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """(source_no, quota) to (source_no, parts): the slots that each shard gets from the source. shards is a power of two."""
-    slots = lambda q: F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x["quota"])
-    nodes = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct("source_no", F.col("quota").cast("long").alias("quota")))).alias("q")).select(F.lit(1).alias("node"), "q")
-    for _ in range(shards.bit_length() - 1):
-        entry = "array<struct<source_no: int, quota: bigint>>"
-        state = F.struct(slots(F.col("q")).alias("total"), F.floor(slots(F.col("q")) / 2).alias("drawn"), F.array().cast(entry).alias("left"), F.array().cast(entry).alias("right"))
+ENTRY = "array<struct<member: bigint, quota: bigint, left: bigint>>"
+
+
+def drawn_left(groups: DataFrame, level: int, seed: int) -> DataFrame:
+    """(node, drawn, total, q: members with their quotas) to (node, member, quota, left): how many of the drawn slots each member gives."""
+    state = F.struct(F.col("total"), F.col("drawn"), F.array().cast(ENTRY).alias("out"))
 
-        def step(a: Column, x: Column) -> Column:
-            u = F.pmod(F.xxhash64(F.lit(seed), F.col("node"), x["source_no"]), F.lit(1 << 53)) / UNIT
-            here = F.array(hypergeometric(u, x["quota"], a["total"], a["drawn"]))  # in an array, so that it's worked out once
+    def step(a: Column, x: Column) -> Column:
+        u = fraction(hashed(seed, F.col("node"), level, x["member"]), 13)
+        here = F.array(hypergeometric(u, x["quota"], a["total"], a["drawn"]))  # in an array, so that it's worked out once
 
-            def taken(k: Column) -> Column:
-                one = lambda n: F.array(F.struct(x["source_no"].alias("source_no"), n.alias("quota")))
-                return F.struct((a["total"] - x["quota"]).alias("total"), (a["drawn"] - k).alias("drawn"), F.concat(a["left"], one(k)).alias("left"), F.concat(a["right"], one(x["quota"] - k)).alias("right"))
+        def taken(k: Column) -> Column:
+            one = F.array(F.struct(x["member"].alias("member"), x["quota"].alias("quota"), k.alias("left")))
+            return F.struct((a["total"] - x["quota"]).alias("total"), (a["drawn"] - k).alias("drawn"), F.concat(a["out"], one).alias("out"))
 
-            return F.element_at(F.transform(here, taken), 1)
+        return F.element_at(F.transform(here, taken), 1)
 
-        halves = F.aggregate("q", state, step, lambda a: F.array(a["left"], a["right"]))
-        nodes = nodes.select("node", F.posexplode(halves).alias("side", "q")).select((F.col("node") * 2 + F.col("side")).alias("node"), "q")
-    parts = nodes.select("node", F.explode("q").alias("e")).groupBy("e.source_no").agg(F.sort_array(F.collect_list(F.struct("node", "e.quota"))).alias("n"))
-    return parts.select("source_no", F.transform("n", lambda x: x["quota"]).alias("parts"))
+    return groups.select("node", F.explode(F.aggregate("q", state, step, lambda a: a["out"])).alias("e")).select("node", "e.*")
+
+
+def split(quotas: DataFrame, sources: int, shards: int = SHARDS, seed: int = 0) -> DataFrame:
+    """(source_no, quota) of as many sources to (source_no, shard, quota): the slots that each shard gets. shards is a power of two."""
+    depth = 1
+    while FAN**depth < sources:
+        depth += 1
+    nodes = quotas.select(F.lit(1).cast("long").alias("node"), (F.col("source_no") - 1).cast("long").alias("member"), F.col("quota").cast("long").alias("quota"))
+    for _ in range(shards.bit_length() - 1):
+        drawn = None
+        for level in range(depth - 1, -1, -1):
+            member = F.floor(F.col("member") / FAN**level)
+            sums = nodes.groupBy("node", member.alias("member")).agg(F.sum("quota").alias("quota")) if level else nodes
+            q = F.sort_array(F.collect_list(F.struct("member", "quota"))).alias("q")  # at most FAN
+            groups = sums.groupBy("node", F.floor(F.col("member") / FAN).alias("parent")).agg(q, F.sum("quota").alias("total"))
+            groups = groups.withColumn("drawn", F.floor(F.col("total") / 2)) if drawn is None else groups.join(drawn, ["node", "parent"])
+            parts = drawn_left(groups, level, seed)
+            drawn = parts.select("node", F.col("member").alias("parent"), F.col("left").alias("drawn"))
+        halves = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("quota")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("quota") - F.col("left")).alias("quota")))
+        nodes = parts.select("member", F.explode(halves).alias("h")).select("h.node", "member", "h.quota")
+    return nodes.select((F.col("member") + 1).cast("int").alias("source_no"), (F.col("node") - shards).cast("int").alias("shard"), "quota")
 
 
 def plan(sized: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """For each (key, block): source_size, target, where the block starts in its source (start), whole times, words of the part (rest), and slots."""
-    blocks = sized.groupBy("key", "block").agg(F.sum("size").alias("block_size"))
-    per = targets(blocks.groupBy("key").agg(F.sum("block_size").alias("source_size")))
+    blocks = stored(sized.groupBy("key", "block").agg(F.sum("size").alias("block_size")), "mix-blocks")
+    per = stored(targets(blocks.groupBy("key").agg(F.sum("block_size").alias("source_size"))), "mix-targets")
     goal = F.floor(F.col("target") + 0.5)
-    per = per.withColumn("times", F.when(F.col("source_size") > 0, F.floor(goal / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("int"))
-    per = per.withColumn("rest", goal - F.col("times") * F.col("source_size"))
-    start = F.sum("block_size").over(W.partitionBy("key").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
-    placed = blocks.withColumn("start", F.coalesce(start, F.lit(0))).join(per, "key")
+    per_goal = per.withColumn("times", F.when(F.col("source_size") > 0, F.floor(goal / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("int"))
+    per_goal = per_goal.withColumn("rest", goal - F.col("times") * F.col("source_size"))
+    placed = blocks.withColumn("start", before("block_size", "key", order=("block",))).join(per_goal, "key")
     passes = F.col("times") + F.when((F.col("start") < F.col("rest")) & (F.col("block_size") > 0), 1).otherwise(0)
-    placed = placed.withColumn("passes", passes)
-    parts = split(placed.groupBy("source_no").agg(F.sum("passes").alias("quota")), shards, seed)
+    placed = stored(placed.withColumn("passes", passes), "mix-placed")
+    parts = split(placed.groupBy("source_no").agg(F.sum("passes").alias("quota")), per.count(), shards, seed)
+    upto = F.sum("quota").over(W.partitionBy("source_no").orderBy("shard"))
+    ends = parts.withColumn("end", upto).groupBy("source_no").agg(F.sort_array(F.collect_list(F.struct("shard", "end"))).alias("ends"))
     slots = placed.where("passes > 0").select("key", "block", "source_no", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass"))
-    place = F.row_number().over(W.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed), "key", "block", "pass"), "block", "pass"))
-    ends = F.transform("parts", lambda _, i: F.aggregate(F.slice("parts", 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
-    dealt = slots.withColumn("place", place).join(parts.select("source_no", ends.alias("ends")), "source_no")
-    shard = F.size(F.filter("ends", lambda e: e < F.col("place")))
+    place = F.row_number().over(W.partitionBy("source_no").orderBy(hashed(seed, F.col("source_no"), F.col("block"), F.col("pass"))))
+    dealt = slots.withColumn("place", place).join(ends, "source_no")
+    shard = F.size(F.filter("ends", lambda e: e["end"] < F.col("place")))
     dealt = dealt.groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("pass", shard.alias("shard")))).alias("slots"))
     return placed.select("key", "block", "start", "source_size", "target", "times", "rest").join(dealt, ["key", "block"], "left")
 
 
-def drawn(docs: DataFrame, shards: int = SHARDS, seed: int = 0, size: Column | None = None) -> DataFrame:
-    """docs with __size, __source_size, __target and __draws: array of (shard, place, words), one for each time that words of the row are taken."""
-    names = [F.col(c) for c in docs.columns]
-    rows = docs.select(*names, (size_of() if size is None else size).alias("__size"), source_key().alias("__key"), order_key(seed=seed).alias("__order"))
-    rows = rows.withColumn("__block", block_of(F.col("__order")))
-    blocks = plan(rows.select(F.col("__key").alias("key"), F.col("__block").alias("block"), F.col("__size").alias("size")), shards, seed)
-    blocks = blocks.select(*(F.col(c).alias(f"__{c}") for c in blocks.columns))
-    before = F.sum("__size").over(W.partitionBy("__key", "__block").orderBy("__order", "doc_id", "__size").rowsBetween(W.unboundedPreceding, -1))
-    joined = rows.withColumn("__before", F.coalesce(before, F.lit(0))).join(blocks, ["__key", "__block"])
-    part = F.greatest(F.lit(0), F.least("__size", F.col("__rest") - F.col("__start") - F.col("__before"))).cast("long")
-    words = lambda s: F.when(s["pass"] <= F.col("__times"), F.col("__size")).otherwise(part)
-    draw = lambda s: F.struct(s["shard"].alias("shard"), F.xxhash64(F.lit(seed), s["shard"], s["pass"], "__order").alias("place"), words(s).alias("words"))
-    slots = F.coalesce("__slots", F.array().cast("array<struct<pass: int, shard: int>>"))
+#: What is worked out for each document, beside docs' own columns.
+PARTS = ("size", "source_size", "target", "draws")
+
+
+def drawn(docs: DataFrame, shards: int = SHARDS, seed: int = 0, size: Column | None = None, whole: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """docs with PARTS under names that docs hasn't, and those names. draws: array of (pass, shard, place, words), one for each time that words are taken.
+
+    whole: see MISS.
+    """
+    helpers = ("key", "order", "block", "before", "start", "times", "rest", "slots")
+    named: dict[str, str] = {}
+    for n in (*PARTS, *helpers):
+        named[n] = fresh(f"mix_{n}", [*docs.columns, *named.values()])
+    c = lambda n: F.col(named[n])
+    names = [F.col(quoted(n)) for n in docs.columns]
+    rows = docs.select(*names, (size_of() if size is None else size).alias(named["size"]), source_key().alias(named["key"]), order_key(seed=seed).alias(named["order"]))
+    rows = rows.withColumn(named["block"], block_of(c("order")))
+    blocks = stored(plan(rows.select(c("key").alias("key"), c("block").alias("block"), c("size").alias("size")), shards, seed), "mix-plan")
+    blocks = blocks.select(*(F.col(n).alias(named[n]) for n in blocks.columns))
+    upto = before(named["size"], named["key"], named["block"], order=(c("order"), F.col("doc_id"), c("size")))
+    joined = rows.withColumn(named["before"], upto).join(blocks, [named["key"], named["block"]])
+    part = F.greatest(F.lit(0), F.least(c("size"), c("rest") - c("start") - c("before"))).cast("long")
+    if whole:
+        rounded = F.when(part * 2 >= c("size"), c("size")).otherwise(F.lit(0).cast("long"))
+        part = F.when(F.abs(rounded - part) <= c("target") * MISS, rounded).otherwise(part)
+    words = lambda s: F.when(s["pass"] <= c("times"), c("size")).otherwise(part)
+    draw = lambda s: F.struct(s["pass"].alias("pass"), s["shard"].alias("shard"), F.xxhash64(F.lit(seed), s["shard"], s["pass"], c("order")).alias("place"), words(s).alias("words"))
+    slots = F.coalesce(c("slots"), F.array().cast("array<struct<pass: int, shard: int>>"))
     draws = F.filter(F.transform(slots, draw), lambda d: d["words"] > 0)
-    return joined.select(*names, "__size", "__source_size", "__target", draws.alias("__draws"))
+    made = joined.select(*names, c("size"), c("source_size"), c("target"), draws.alias(named["draws"]))
+    return made, {n: named[n] for n in PARTS}
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0, size: Column | None = None) -> DataFrame:
-    """docs with size, source_size, target, taken (words that the mix takes) and draws (shard, place and words of each time).
+    """docs with size, source_size, target, taken (words that the mix takes) and draws (pass, shard, place and words of each time).
 
     docs needs doc_id, source, and text unless a column of sizes is given. Sort a shard's draws by place to shuffle it.
     """
-    made = drawn(docs, shards, seed, size)
-    outs = {
-        "size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"),
-        "taken": F.aggregate("__draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]), "draws": F.col("__draws"),
-    }
-    return made.select(*(c for c in docs.columns if c not in outs), *(c.alias(k) for k, c in outs.items()))
+    made, named = drawn(docs, shards, seed, size)
+    outs = {n: F.col(named[n]) for n in ("size", "source_size", "target")}
+    outs |= {"taken": F.aggregate(named["draws"], F.lit(0).cast("long"), lambda a, d: a + d["words"]), "draws": F.col(named["draws"])}
+    return made.select(*(F.col(quoted(c)) for c in docs.columns if c.lower() not in outs), *(c.alias(k) for k, c in outs.items()))
 
 
 def mixed_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """The mix: docs' columns, a row for each time that a document is taken; a part has the text's first words (and their n_chars)."""
-    rows = drawn(docs, shards, seed).withColumn("__words", F.explode("__draws.words"))
-    whole = F.col("__words") >= F.col("__size")
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORDS})"), 1), F.lit(1), F.col("__words").cast("int")), " ")
-    made = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(first))
+    """The mix: docs' columns, a row for each time that a document is taken, shard by shard and shuffled within each.
+
+    A shard is dealt to several tasks by the first bits of a row's place, and each task's rows are in the order of shard
+    and place. A document at the end of a source's part is taken whole or not, whichever is nearer to the target; where
+    that would miss it by far (MISS), its first words are taken as they stand, with their n_chars.
+    """
+    made, named = drawn(docs, shards, seed, whole=True)
+    draw, piece = fresh("mix_draw", made.columns), fresh("mix_piece", made.columns)
+    pieces = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    rows = made.withColumn(draw, F.explode(named["draws"]))
+    rows = rows.withColumn(piece, F.floor((F.shiftright(F.col(draw)["place"], 32) + (1 << 31)) * pieces / F.lit(1 << 32)))
+    rows = rows.repartition(F.col(draw)["shard"], F.col(piece)).sortWithinPartitions(F.col(draw)["shard"], F.col(piece), F.col(draw)["place"], "doc_id")
+    words = F.col(draw)["words"]
+    whole = words >= F.col(named["size"])
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORDS}"), 0), F.lit(1), words.cast("int")), "")
+    text = F.when(whole, F.col("text")).otherwise(first)
+    outs = {"text": text}
     if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return made.select(*docs.columns)
+        outs["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*(outs.get(c, F.col(quoted(c))).alias(c) for c in docs.columns))

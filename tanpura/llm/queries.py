@@ -56,13 +56,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenscan.token_counts(tokenscan.flat_blocks(table(spark, sf_dir, "documents")))
+    return tokenscan.document_counts(table(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = stored(docs.select("doc_id", "source", mixing.size_of().alias("size")), "mix-sizes")
-    return mixing.mix(sized, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+    shards = F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",").alias("shards")
+    return mixing.mix(sized, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken", shards)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,13 +86,44 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
 from t window w as (partition by bare order by n desc, doc_id nulls last)
 """
 
-OP9_SQL = r"""
-with d as (
+def ln_factorial_sql(x: str) -> str:
+    y = f"cast(greatest({x}, 1) as double)"
+    return f"(case when {x} < 2 then 0 else {y} * ln({y}) - {y} + ln({y} * 6.283185307179586::double) / 2 + 1 / (12 * {y}) - 1 / (360 * {y} * {y} * {y}) end)"
+
+
+def ways_sql(n: str, k: str) -> str:
+    return f"({ln_factorial_sql(n)} - {ln_factorial_sql(k)} - {ln_factorial_sql(f'({n} - {k})')})"
+
+
+def tree_sql(level: int) -> str:
+    """The quotas of the nodes of one level halved, source after source: r{level}, and those of the next level, n{level + 1}."""
+    chance = f"exp({ways_sql('quota', 'k')} + {ways_sql('(total - quota)', '(drawn - k)')} - {ways_sql('total', 'drawn')})"
+    return f"""
+r{level} as (
+  select node, 0 as no, cast(sum(quota) as bigint) as total, cast(sum(quota) as bigint) // 2 as drawn, cast(0 as bigint) as quota, cast(0 as bigint) as k from n{level} group by node
+  union all
+  select node, no, total - quota as total, drawn - k as drawn, quota, k from (
+    select *, least(high, low + len(list_filter(range(1, len(chances) + 1), lambda i: list_sum(chances[:i]) < u))) as k from (
+      select *, list_transform(range(low, high + 1), lambda k: {chance}) as chances from (
+        select *, greatest(low, least(quota, drawn, cast(ceil(mean + spread) as bigint))) as high from (
+          select *, greatest(0, drawn + quota - total, cast(floor(mean - spread) as bigint)) as low from (
+            select *, sqrt(mean * greatest(1 - cast(quota as double) / greatest(total, 1), 0.0::double)) * 9 + 5 as spread from (
+              select r.node, n.no, r.total, r.drawn, n.quota, cast(r.drawn * n.quota as double) / greatest(r.total, 1) as mean,
+                cast(cast('0x' || substr(md5('0:' || r.node || ':0:' || (n.no - 1)), 1, 13) as ubigint) as double) / 4503599627370496 as u
+              from r{level} r join n{level} n on n.node = r.node and n.no = r.no + 1))))))),
+n{level + 1} as (
+  select node * 2 as node, no, k as quota from r{level} where no > 0 union all select node * 2 + 1, no, quota - k from r{level} where no > 0)"""
+
+
+#: Targets by water filling, then the splitting tree and what of each document's draws falls to which shard. As many
+#: sources as one group of the tree holds (mixing.FAN); more would need the tree over groups.
+OP9_SQL = rf"""
+with recursive d as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
     md5(coalesce(cast(doc_id as varchar), 'null') || ':0') as k from documents),
 s as (
   select source, cast(sum(size) as bigint) as source_size, 1 + (row_number() over (order by source nulls last) - 1) % 3 as weight,
-    row_number() over (order by source nulls last) as n from d group by source),
+    cast(row_number() over (order by source nulls last) as int) as n from d group by source),
 c as (
   select *, cast(3 * source_size as double) as cap, cast(weight as double) as wt from s),
 l as (
@@ -103,14 +135,34 @@ g as (
   select arg_min(lft, cap / wt) as lft, arg_min(rst, cap / wt) as rst from f
   where not capped and n = (select arg_min(n, struct_pack(a := cap / wt, b := n)) from f where not capped)),
 t as (
-  select f.source, f.source_size, case when f.capped then f.cap else f.wt * g.lft / g.rst end as target from f, g),
+  select f.n, f.source, f.source_size, case when f.capped then f.cap else f.wt * g.lft / g.rst end as target from f, g),
+w as (
+  select *, case when source_size = 0 then 0 else goal // source_size end as times, goal - case when source_size = 0 then 0 else goal // source_size end * source_size as rest
+  from (select *, cast(floor(target + 0.5) as bigint) as goal from t)),
 p as (
-  select d.doc_id, d.size, t.source_size, t.target, cast(floor(t.target + 0.5) as bigint) as goal,
-    coalesce(sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as before
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  cast(case when source_size = 0 then 0 else (goal // source_size) * size + greatest(0, least(size, goal % source_size - before)) end as bigint) as taken
-from p
+  select d.doc_id, d.size, w.n, w.source_size, w.target, w.times, cast(floor(cast('0x' || substr(d.k, 1, 8) as ubigint) / 4294967296 * 1024) as int) as block,
+    greatest(0, least(size, rest - coalesce(sum(d.size) over (partition by w.n order by d.k, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0))) as part, w.rest
+  from d join w on d.source is not distinct from w.source),
+b as (
+  select n, block, times + case when start < rest and block_size > 0 then 1 else 0 end as passes from (
+    select *, coalesce(sum(block_size) over (partition by n order by block rows between unbounded preceding and 1 preceding), 0) as start from (
+      select n, block, any_value(times) as times, any_value(rest) as rest, sum(size) as block_size from p group by n, block))),
+n0 as (
+  select cast(1 as bigint) as node, n as no, cast(sum(passes) as bigint) as quota from b group by n),
+{','.join(tree_sql(level) for level in range(mixing.SHARDS.bit_length() - 1))},
+e as (
+  select no, node - {mixing.SHARDS} as shard, sum(quota) over (partition by no order by node) as upto from n{mixing.SHARDS.bit_length() - 1}),
+slots as (
+  select n, block, pass, row_number() over (partition by n order by md5('0:' || n || ':' || block || ':' || pass)) as place
+  from (select n, block, unnest(range(1, passes + 1)) as pass from b)),
+dealt as (
+  select slots.n, slots.block, slots.pass, count(e.shard) as shard from slots left join e on e.no = slots.n and e.upto < slots.place group by all),
+drawn as (
+  select p.n, p.block, p.doc_id, p.size, string_agg(cast(dealt.shard as varchar), ',' order by dealt.pass) as shards
+  from (select distinct n, block, doc_id, size, times, part from p) p join dealt on dealt.n = p.n and dealt.block = p.block
+  where case when dealt.pass <= p.times then p.size else p.part end > 0 group by all)
+select p.doc_id, p.size, p.source_size, p.target, cast(case when p.source_size = 0 then 0 else p.times * p.size + p.part end as bigint) as taken, coalesce(drawn.shards, '') as shards
+from p left join drawn on drawn.n = p.n and drawn.block = p.block and drawn.doc_id is not distinct from p.doc_id and drawn.size = p.size
 """
 
 

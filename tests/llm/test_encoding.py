@@ -65,12 +65,12 @@ def test_query_over_a_whole_table(spark, small, reference):
 
 def test_empty_table(spark):
     assert bpe.decode(bpe.encode(docs(spark).limit(0))).count() == 0
-    assert tokenscan.token_counts(tokenscan.flat_blocks(docs(spark).limit(0))).count() == 0
+    assert tokenscan.document_counts(docs(spark).limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("block", [1, 2, 7, 1 << 16])
 def test_token_counts_over_any_blocks(spark, reference, block):
-    got = {r["doc_id"]: r for r in tokenscan.token_counts(tokenscan.flat_blocks(docs(spark).coalesce(1), block_tokens=block)).collect()}
+    got = {r["doc_id"]: r for r in tokenscan.document_counts(docs(spark).coalesce(1), block_tokens=block).collect()}
     at = 0
     for i, text in enumerate(TEXTS):
         n = len(reference.encode_ordinary(text or ""))
@@ -82,7 +82,7 @@ def test_flat_files_without_labels(spark, tmp_path):
     sep = tokenscan.SEPARATOR
     for name, ids in {"a": [1, 2, sep, sep, 3, 4, 5], "b": [sep], "c": [7] * 100 + [sep], "d": []}.items():
         (tmp_path / name).write_bytes(np.array(ids, "<u2").tobytes())
-    rows = tokenscan.token_counts(tokenscan.file_blocks(spark, f"file://{tmp_path}", block_tokens=3)).collect()
+    rows = tokenscan.token_counts(spark, f"file://{tmp_path}", block_tokens=3).collect()
     got = sorted((r["file"][-1], r["ordinal"], r["start"], r["n_tokens"], r["complete"]) for r in rows)
     assert got == [("a", 0, 0, 2, True), ("a", 1, 3, 0, True), ("a", 2, 4, 3, False), ("b", 0, 0, 0, True), ("c", 0, 0, 100, True)]
 
@@ -90,11 +90,29 @@ def test_flat_files_without_labels(spark, tmp_path):
 def test_long_file_scans_in_two_levels(spark, monkeypatch):
     monkeypatch.setattr(tokenscan, "SUPER", 2)
     texts = ["word " * n for n in (0, 5, 1, 30, 0, 0, 12, 3)]
-    got = tokenscan.token_counts(tokenscan.flat_blocks(docs(spark, texts).coalesce(1), block_tokens=4)).collect()
-    one = tokenscan.token_counts(tokenscan.flat_blocks(docs(spark, texts).coalesce(1))).collect()
+    got = tokenscan.document_counts(docs(spark, texts).coalesce(1), block_tokens=4).collect()
+    one = tokenscan.document_counts(docs(spark, texts).coalesce(1)).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, one)) and len(got) == len(texts)
 
 
+def test_files_are_flat_ids(spark, tmp_path, reference):
+    tokenscan.flat_files(docs(spark).coalesce(1), f"file://{tmp_path}/x", file_documents=4)
+    files = sorted((tmp_path / "x/tokens").glob("part-*"))
+    assert len(files) == 3
+    ids = [np.frombuffer(f.read_bytes(), "<u2").tolist() for f in files]
+    want = [reference.encode_ordinary(t or "") + [tokenscan.SEPARATOR] for t in TEXTS]
+    assert ids == [sum(want[i : i + 4], []) for i in range(0, len(want), 4)]
+
+
+def test_odd_files_and_vocabularies_are_refused(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"\x01\x02\x03")
+    with pytest.raises(Exception, match="16-bit"):
+        tokenscan.token_counts(spark, f"file://{tmp_path}").collect()
+    for separator in (7, 1 << 16):
+        with pytest.raises(ValueError, match="16-bit"):
+            tokenscan.flat_files(docs(spark), f"file://{tmp_path}/y", separator=separator)
+
+
 def test_token_count_query_agrees_with_encoding(spark, small):
     counts = {r["doc_id"]: r["n_tokens"] for r in queries.op8_token_counts(spark, small).collect()}
     assert counts == {r["doc_id"]: r["n_tokens"] for r in queries.op2_bpe(spark, small).collect()}
