@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -22,15 +23,32 @@ BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 FILE_ROWS = 200_000
 
 
+#: Paths of the tables that this process has stored and not dropped.
+_stored: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drops the tables that are stored within the block when it ends; what is made of them must be written by then."""
+    before = len(_stored)
+    yield
+    for path in _stored[before:]:
+        file = spark._jvm.org.apache.hadoop.fs.Path(path)
+        file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+    del _stored[before:]
+
+
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df to a table in the shared folder and read it back. This cuts the lineage and survives lost executors.
 
-    rows, where known, is a bound of df's rows, by which small tables get few files.
+    rows, where known, is a bound of df's rows, by which small tables get few files. Tables stay until scratch() drops
+    them, as results that aren't written yet may read them.
     """
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(1 + rows // FILE_ROWS)
     path = shared_path(spark, name)
+    _stored.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

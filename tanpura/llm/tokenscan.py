@@ -33,7 +33,7 @@ from tanpura.llm.common import Rows, groups, shared_path, small_batches, stored,
 
 SEPARATOR, BLOCK_TOKENS, SUPER = 50256, 1 << 16, 1024
 #: Documents of one flat file.
-FILE_DOCUMENTS = 20_000
+FILE_DOCUMENTS = 5_000
 
 FOUND = pa.schema([("file", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("ends", pa.list_(pa.int32()))])
 FOUND_SQL = "file string, block bigint, n bigint, ends array<int>"
