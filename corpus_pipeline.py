@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tanpura.llm import bpe, grace, mixing, probminhash, quality
-from tanpura.llm.common import stored
+from tanpura.llm.common import scratch
+from tanpura.session import shared_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each time that a document is taken, or its first words where it is taken in part."""
+    """The mix, shard by shard and shuffled within each: a row for each time that a document is taken."""
     return mixing.mixed_rows(docs)
 
 
@@ -42,13 +43,17 @@ STAGES = [
     ("byte-level BPE encoding and decoding", byte_level_bpe),
 ]
 
-#: A trained classifier, sketches and BPE can't be said in SQL; tests/llm holds the pipeline against brute force.
+#: A trained classifier, sketches and BPE can't be said in SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table. What a stage stores for itself goes when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = shared_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
