@@ -7,7 +7,8 @@ distance, as moving text changes the order within tuples.
 
 The successor of each document (by descending doc_id, around the end) is needed beside it. Documents are dealt into
 ranges of doc_id and sorted within them; each range also gets the first document of the range that follows. So each
-text is shuffled once, and no task reads more than its ranges.
+text is shuffled once, and no task reads more than its ranges. A doc_id that many rows repeat, or null, gets several
+ranges, by a hash of the text; only rows that are equal in both stay together.
 
 Defined cases: null and empty texts share the fingerprint of zeros; a text shorter than K is one k-mer; null doc_id
 comes last; rows of equal doc_id are ordered by a hash of their text; a single row is its own successor; an empty
@@ -17,6 +18,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,14 +115,23 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_ranges(docs: DataFrame, ranges: int) -> DataFrame:
-    """Adds range, which rises with doc_id and is -1 for null."""
+    """Adds range, which falls in the order of documents: by descending doc_id, null last, then by the text's hash."""
     from pyspark.ml.feature import Bucketizer  # on the driver only; workers needn't load it
 
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges).alias("cuts")).first()["cuts"] or []
+    quantiles = F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges)
+    row = docs.agg(quantiles.alias("cuts"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    cuts, width = row["cuts"] or [], ranges + 2
+    many = {c: n + 1 for c, n in Counter(cuts).items() if n > 1}  # how many ranges an id gets that is several quantiles
     splits = [-float("inf"), *sorted({float(c) for c in cuts} or {0.0}), float("inf")]
     known = F.coalesce(F.col("doc_id"), F.lit(0)).cast("double")
     dealt = Bucketizer(splits=splits, inputCol="__known", outputCol="__range").transform(docs.withColumn("__known", known))
-    return dealt.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("__range").cast("int"))).drop("__known", "__range")
+    share = F.xxhash64("text") / float(1 << 64) + 0.5
+    part = lambda n: F.least(F.floor(share * n), n - 1)
+    times = F.try_element_at(F.create_map(*(F.lit(x).cast("long") for pair in many.items() for x in pair)), F.col("doc_id")) if many else F.lit(None).cast("long")
+    # An id that is a cut is the last of its bucket.
+    within = F.when(times.isNotNull(), width - 2 - part(times)).otherwise(width - 1)
+    nulls = F.lit(max(1, -(-ranges * row["nulls"] // max(1, row["n"])))).cast("long")
+    return dealt.withColumn("range", F.when(F.col("doc_id").isNull(), -1 - part(nulls)).otherwise(F.col("__range").cast("long") * width + within)).drop("__known", "__range")
 
 
 EDITED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -162,7 +173,7 @@ def edited_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame
         return rows.mapInArrow(lambda batches: iter(()), EDITED_SQL)
     # The first document of each range is a ghost at the end of the range before it; that of the first, of the last.
     follows = [(h["range"], h["head"], heads[i - 1]["range"]) for i, h in enumerate(heads)]
-    small = F.broadcast(spark.createDataFrame(follows, "range int, head bigint, target int"))
+    small = F.broadcast(spark.createDataFrame(follows, "range long, head bigint, target long"))
     tied = F.xxhash64("text")
     ghosts = ranged.join(small, "range").where(F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("target", "doc_id").agg(F.min(F.struct(tied.alias("tie"), "text")).alias("first"))
     ghosts = ghosts.select(F.col("target").alias("range"), F.lit(True).alias("ghost"), "doc_id", F.col("first.tie").alias("tie"), F.col("first.text").alias("text"))

@@ -75,6 +75,21 @@ def test_edited_fingerprints(spark, ranges):
     assert got[9]["fingerprint"] == got[8]["fingerprint"] and got[9]["near_next"] == 1
 
 
+def test_repeated_and_null_ids_are_dealt_to_several_ranges(spark):
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text number {i} of some words {i * i}", "s") for i in range(240)]
+    frame = docs(spark, rows).select("doc_id", F.col("text").cast("binary").alias("text"))
+    ranged = omh.with_ranges(frame, 8).toPandas()
+    per = ranged.groupby(ranged["doc_id"].fillna(-1))["range"].nunique()
+    assert per[-1] >= 3 and per[5] >= 3 and ranged.groupby("range").size().max() < 60
+    order = frame.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text")).collect()
+    want = []
+    for r, after in zip(order, order[1:] + order[:1], strict=True):
+        text, after = bytes(r["text"]).decode(), bytes(after["text"]).decode()
+        want.append((r["doc_id"] or -1, hashlib.sha256((text[: len(text) - len(text) // 3] + after[: len(text) // 3]).encode()).hexdigest()))
+    got = [(r["doc_id"] or -1, r["edited_sha256"]) for r in omh.edited_fingerprints(docs(spark, rows).repartition(3), 8).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_fingerprints_of_one_row_and_none(spark):
     one = omh.edited_fingerprints(docs(spark, FINGER[:1])).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1
