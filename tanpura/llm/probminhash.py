@@ -6,16 +6,19 @@ registers, which keep the shingle that came first. Shingles stop once their next
 The share of equal registers estimates the probability Jaccard similarity.
 
 Texts with equal words are one node. Nodes that share a band of registers meet in a bucket. In each bucket every member
-is held against two hubs, the members of smallest and largest key; pairs within a bucket aren't made otherwise.
-Similarity is computed exactly from the shingles; pairs of SIMILARITY or more are links. In further rounds, while its hubs bring links, a bucket takes as hubs the CENTRAL members with most links (a text that
-others are copies of) and holds against them all members of other components; and 2, 4, 8 ... members of components that
-gave no hub yet, which are held against the CENTRAL members with most links of each other component.
-
-At last the members of buckets that still hold several components are held against each other by an exact filter. Where
-alpha is the weight of a's shingles that b lacks and beta that of b's that a lacks, the similarity is at most
-(1 - alpha) (1 - beta) / (1 - alpha beta). With shingles in one order, rarest first, what stands before the first common
-one is lacking, so a pair can be a link only if it has a common shingle before which the weights pass that bound. Such
-pairs are verified, a few for each two components first, until none is left whose components differ.
+is first held against two hubs, the members of smallest and largest key. Similarity is computed exactly from the
+shingles; pairs of SIMILARITY or more are links. In further rounds, while its hubs bring links, a bucket takes as hubs
+the CENTRAL members with most links (a text that others are copies of) and holds against them all members of other
+components; and 2, 4, 8 ... members of components that gave no hub yet, which are held against the CENTRAL members with
+most links of each other component. So large families become one component by stars, in proportion to their members.
+
+At last buckets that still hold several components are compared whole, in blocks: a component of half a block or more
+has blocks of its own, the others are dealt to blocks by component, and every two blocks that may hold members of
+different components meet in one task. There all pairs are excluded by an exact bound at once, or verified, or already
+in one component. The bound: where x is the weight of a's shingles that b has and y that of b's that a has, the
+similarity is at most x y / (x + y - x y); x and y of all pairs of two blocks are two matrix products. No row is made
+for a pair, and a large component isn't compared with itself. So each pair that shares a bucket is verified, excluded
+or within one component.
 
 Defined cases: null and blank texts have no shingles and are one class of their own; a null doc_id is a member like any
 other (a class's id is its smallest doc_id that isn't null); repeated rows are in one class; an empty table gives an
@@ -41,8 +44,8 @@ BANDS, BAND_ROWS = 30, 6
 REGISTERS = BANDS * BAND_ROWS
 #: Members with most links that a bucket takes as hubs in each further round.
 CENTRAL = 2
-#: Pairs of two components that are verified in the first round of the filtered pairs; STEP times as many in each further one.
-FIRST_PAIRS, STEP = 8, 8
+#: Members of a block, shingles of a block (repeats included) beyond which it has fewer members, and columns of a matrix that is held at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 21, 1 << 12
 #: Shingles that are sketched at once, and words that a worker's memo holds.
 GROUP_SHINGLES, MEMO_WORDS = 1 << 17, 200_000
 
@@ -232,43 +235,111 @@ def relabelled(labels: DataFrame, new: DataFrame, n: int, size: int) -> DataFram
     return stored(labels.join(roots, "label", "left").select("key", F.coalesce("root", "label").alias("label")), "labels", size)
 
 
-def filtered_pairs(members: DataFrame, least: float) -> DataFrame:
-    """(key, label, shingles) to every pair (a, b) of different labels that may have similarity least or more."""
-    grams = stored(members.select("key", "label", F.explode("shingles").alias("shingle")).groupBy("key", "label", "shingle").agg(F.count("*").alias("weight")), "filter-shingles")
-    # A shingle of one label makes no pair, but its weight counts as lacking.
-    counts = stored(grams.groupBy("shingle").agg(F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("mixed")).where("n > 1"), "filter-counts")
-    own = W.partitionBy("key")
-    rarest = own.orderBy(F.coalesce("n", F.lit(1)), "shingle").rowsBetween(W.unboundedPreceding, -1)
-    share = (F.coalesce(F.sum("weight").over(rarest), F.lit(0)) / F.sum("weight").over(own)).alias("before")
-    begun = grams.join(counts, "shingle", "left").select("shingle", "key", "label", "mixed", share)
-    begun = stored(begun.where(F.col("mixed") & (F.col("before") <= 1 - least + 1e-6)).drop("mixed"), "filter-prefixes")
-    # One end of a pair isn't in the shingle's largest component, so that one isn't held against itself.
-    largest = begun.groupBy("shingle", "label").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("label", "n").alias("largest"))
-    other = begun.join(stored(largest, "filter-largest"), "shingle").where("label <> largest")
-    other = stored(other.select("shingle", F.col("key").alias("other"), F.col("label").alias("other_label"), F.col("before").alias("other_before")), "filter-others")
-    passes = (1 - F.col("before")) * (1 - F.col("other_before")) >= least * (1 - F.col("before") * F.col("other_before")) - 1e-6
-    met = begun.join(other, "shingle").where((F.col("label") != F.col("other_label")) & passes)
-    return met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-
-
-def completed(crowded: DataFrame, labels: DataFrame, sets: DataFrame, tried: DataFrame, least: float, size: int) -> DataFrame:
+def weights(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, shingle and weight (share of the row's shingles) of each distinct shingle of each row."""
+    row = np.repeat(np.arange(len(sets), dtype=np.int64), [len(x) for x in sets])
+    both, n = np.unique((row << 32) | np.concatenate(sets).view(np.uint32).astype(np.int64), return_counts=True)
+    row = both >> 32
+    return row, both & 0xFFFFFFFF, (n / np.array([len(x) for x in sets])[row]).astype(np.float32)
+
+
+def bounds(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """An upper bound of the similarity of each pair of a left and a right multiset of shingles."""
+    (lr, lc, lw), (rr, rc, rw) = weights(left), weights(right)
+    common = np.intersect1d(lc, rc)  # others add nothing
+    x, y = np.zeros((len(left), len(right)), np.float32), np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(common), COLUMNS):
+        part = common[at : at + COLUMNS]
+        dense = []
+        for r, c, w, n in ((lr, lc, lw, len(left)), (rr, rc, rw, len(right))):
+            place = np.minimum(np.searchsorted(part, c), len(part) - 1)
+            own = part[place] == c
+            m = np.zeros((n, len(part)), np.float32)
+            m[r[own], place[own]] = w[own]
+            dense += [m, (m > 0).astype(np.float32)]
+        p, p_has, q, q_has = dense
+        x += p @ q_has.T
+        y += p_has @ q.T
+    return np.divide(x * y, x + y - x * y, out=np.zeros_like(x), where=(x > 0) & (y > 0))
+
+
+def block_links(sides: tuple[list, list], least: float) -> Iterator[tuple[bytes, bytes]]:
+    """Links between members (key, label, shingles) of two blocks, or within the first if the second is empty, at most one for each two components that they join."""
+    left, right = sides[0], sides[1] or sides[0]
+    if not left:
+        return
+    high = bounds([m[2] for m in left], [m[2] for m in right])
+    found = high >= least - 1e-4  # single precision
+    root: dict[bytes, bytes] = {}
+
+    def of(label: bytes) -> bytes:
+        while (up := root.get(label, label)) != label:
+            root[label] = root.get(up, up)
+            label = up
+        return label
+
+    a, b = np.nonzero(np.triu(found, 1) if not sides[1] else found)
+    for i in np.argsort(-high[a, b], kind="stable").tolist():
+        (ka, la, sa), (kb, lb, sb) = left[a[i]], right[b[i]]
+        la, lb = of(la), of(lb)
+        if la != lb and similarity(sa, sb) >= least - 1e-9:
+            root[lb] = la
+            yield ka, kb
+
+
+LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def block_pairs(least: float):
+    """For mapInArrow: rows (value, job, second, key, label, shingles), sorted by bucket and by the two blocks that meet, to links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, now, sides = Rows(LINK), None, ([], [])
+        for batch in batches:
+            shingles = batch.column("shingles")
+            for i, (value, job, second, key, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("value", "job", "second", "key", "label")), strict=True)):
+                if (value, job) != now:
+                    if now is not None:
+                        for link in block_links(sides, least):
+                            yield from out.add(link)
+                    now, sides = (value, job), ([], [])
+                sides[second].append((key, label, np.array(shingles[i].values)))
+        if now is not None:
+            for link in block_links(sides, least):
+                yield from out.add(link)
+        yield from out.flush()
+
+    return run
+
+
+def completed(crowded: DataFrame, labels: DataFrame, sets: DataFrame, least: float, size: int) -> DataFrame:
     """labels (size rows) after every pair of a bucket of crowded (value, key) is verified, excluded exactly or within a component."""
     several = (F.count("*") > 3) & (F.min("label") < F.max("label"))  # of three, hubs have met all
     held = crowded.join(small_side(labels), "key")
     open_buckets = small_side(stored(held.groupBy("value").agg(several.alias("several")).where("several").select("value"), "open"))
-    members = held.join(open_buckets, "value", "left_semi").select("key", "label").distinct()
-    rest = stored(filtered_pairs(sets.join(small_side(stored(members, "open-members", size)), "key"), least).join(tried, ["a", "b"], "left_anti"), "filter-pairs")
-    bound = FIRST_PAIRS
-    while not rest.isEmpty():
-        known = small_side(labels)
-        apart = rest.join(known.toDF("a", "la"), "a").join(known.toDF("b", "lb"), "b").where("la <> lb")
-        turn = F.row_number().over(W.partitionBy(F.least("la", "lb"), F.greatest("la", "lb")).orderBy(F.xxhash64("a", "b"), "a", "b"))
-        apart = stored(apart.select("a", "b", turn.alias("turn")), "filter-turns")
-        new = stored(verified(apart.where(F.col("turn") <= bound).select("a", "b"), sets, least), "links")
-        if n := new.count():
-            labels = relabelled(labels, new, n, size)
-        rest, bound = apart.where(F.col("turn") > bound).select("a", "b"), bound * STEP
-    return labels
+    lengths = small_side(sets.select("key", "length"))
+    members = stored(held.join(open_buckets, "value", "left_semi").join(lengths, "key"), "open-members")
+    if members.isEmpty():
+        return labels
+    # A component's own blocks, by the key's hash; those of the others of its bucket, by the component's.
+    sums = members.groupBy("value", "label").agg(F.count("*").alias("n"), F.sum("length").alias("length"))
+    filled = F.greatest(F.col("n") / BLOCK, F.col("length") / BLOCK_SHINGLES)
+    sums = stored(sums.withColumn("own", filled >= 0.5), "open-components")
+    group = F.when(F.col("own"), F.col("label")).otherwise(F.lit(b""))
+    groups = sums.groupBy("value", group.alias("group")).agg(F.sum("n").alias("n"), F.sum("length").alias("length")).withColumn("blocks", F.ceil(filled))
+    groups = stored(groups.select("value", "group", "blocks"), "open-groups")
+    number = F.pmod(F.xxhash64(F.when(F.col("group") == F.lit(b""), F.col("label")).otherwise(F.col("key"))), F.col("blocks"))
+    own = sums.select("value", "label", group.alias("group"))
+    placed = members.join(own, ["value", "label"]).join(groups, ["value", "group"]).select("value", "key", "label", "group", number.alias("number"))
+    others = groups.select("value", F.col("group").alias("group2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("number2"))
+    met = placed.join(others, "value").where((F.col("group") != F.col("group2")) | (F.col("group") == F.lit(b"")))
+    here, there = F.struct("group", "number"), F.struct(F.col("group2").alias("group"), F.col("number2").alias("number"))
+    job = F.xxhash64(F.least(here, there), F.greatest(here, there))
+    met = met.select("value", job.alias("job"), (here > there).cast("int").alias("second"), "key", "label")
+    whole = met.join(sets, "key").repartition("value", "job").sortWithinPartitions("value", "job", "second")
+    new = stored(whole.select("value", "job", "second", "key", "label", "shingles").mapInArrow(block_pairs(least), "a binary, b binary"), "links")
+    n = new.count()
+    return relabelled(labels, new, n, size) if n else labels
 
 
 def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame | None:
@@ -285,7 +356,8 @@ def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataF
         return None
     whole = crowded = crowded.select("value", "key")
     texts = docs.select("doc_id", text_bytes().alias("text")).mapInArrow(shingled, "key binary, shingles array<int>")
-    sets = stored(texts.join(crowded.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "shingles")
+    sets = texts.join(crowded.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    sets = stored(sets.withColumn("length", F.size("shingles").cast("long")), "shingles")
     labels = keys = sets.select("key", F.col("key").alias("label"))
     size = keys.count()
     tried, bound = pairs.select("a", "b").distinct(), 1
@@ -317,7 +389,7 @@ def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataF
         apart = pairs.select("a", "b").distinct()
         new = stored(verified(apart, sets, least), "links")
         crowded, hubs, tried, bound = known.select("value", "key"), hubs.union(chosen.select("value", "hub")), tried.union(apart), bound + 1
-    return completed(whole, labels, sets, tried, least, size)
+    return completed(whole, labels, sets, least, size)
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
