@@ -1,7 +1,7 @@
 """Exact deduplication by Grace hashing.
 
-Each task first folds the copies it sees itself, so a group of copies reaches the shuffle as one record for a task
-and FOLD rows, whatever its size. Records are dealt into buckets by a hash of their normalised text. A bucket is read
+Each task first folds the copies it sees itself, so a group of copies reaches its bucket as one record for a task,
+whatever its size; lists of more than FOLD of its rows go elsewhere, and take the class of the record. Records are dealt into buckets by a hash of their normalised text. A bucket is read
 through an open-addressing table that compares complete contents. When the table is full, records that match nothing
 in it go to a spill table in the shared folder; those are dealt anew by another hash, level after level, until nothing
 is spilled. Each level resolves at least what a table holds, so this ends.
@@ -31,8 +31,9 @@ WHITE = b" \t\n\x0b\x0c\r"
 TABLE_BYTES, FOLD = 48 << 20, 2000
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("n_chars", pa.int64())])
-RECORD = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("record", pa.string()), ("members", pa.list_(MEMBER))])
-RECORD_SQL = "digest binary, content binary, record string, members array<struct<doc_id: bigint, n_chars: bigint>>"
+#: of: the record whose class these further rows take; they have no content.
+RECORD = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("record", pa.string()), ("of", pa.string()), ("members", pa.list_(MEMBER))])
+RECORD_SQL = "digest binary, content binary, record string, of string, members array<struct<doc_id: bigint, n_chars: bigint>>"
 RESOLVED = pa.schema([("class", pa.string()), *RECORD])
 RESOLVED_SQL = f"class string, {RECORD_SQL}"
 
@@ -79,14 +80,15 @@ def fold(table_bytes: int = TABLE_BYTES):
     """For mapInArrow: rows (doc_id, text) to records; equal texts of one task share a record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, members, digests, made = ContentTable(), [], [], 0
+        table, members, digests, names, made = ContentTable(), [], [], [], 0
         out, task = Rows(RECORD), TaskContext.get().partitionId()
 
         def emit(entry: int) -> Iterator[pa.RecordBatch]:
             nonlocal made
             made += 1
-            content = table.contents[entry]
-            yield from out.add((digests[entry], content, f"{task}-{made}", members[entry]), len(content) + 16 * len(members[entry]))
+            content, of = (table.contents[entry], None) if names[entry] is None else (None, names[entry])
+            names[entry] = names[entry] or f"{task}-{made}"
+            yield from out.add((digests[entry], content, f"{task}-{made}", of, members[entry]), len(content or b"") + 16 * len(members[entry]))
             members[entry] = []
 
         for batch in batches:
@@ -99,10 +101,11 @@ def fold(table_bytes: int = TABLE_BYTES):
                         for e, m in enumerate(members):
                             if m:
                                 yield from emit(e)
-                        table, members, digests = ContentTable(), [], []
+                        table, members, digests, names = ContentTable(), [], [], []
                     entry = table.add(h, content)
                     members.append([])
                     digests.append(digest)
+                    names.append(None)
                 members[entry].append({"doc_id": doc_id, "n_chars": len(text) - count_tails(text)})
                 if len(members[entry]) >= FOLD:
                     yield from emit(entry)
@@ -128,15 +131,18 @@ def resolve(table_bytes: int = TABLE_BYTES):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, first, out = ContentTable(), [], Rows(RESOLVED)
         for batch in batches:
-            for digest, content, record, members in zip(*(batch.column(c).to_pylist() for c in RECORD.names), strict=True):
+            for digest, content, record, of, members in zip(*(batch.column(c).to_pylist() for c in RECORD.names), strict=True):
+                if of is not None:
+                    yield from out.add(("", digest, None, record, of, members), 16 * len(members) + 100)
+                    continue
                 entry = table.find(h := hashed(digest), content)
                 if entry < 0 and (table.held <= table_bytes or not first):
                     entry = table.add(h, content)
                     first.append(record)
                 if entry < 0:
-                    yield from out.add((None, digest, content, record, members), len(content) + 16 * len(members))
+                    yield from out.add((None, digest, content, record, None, members), len(content) + 16 * len(members))
                 else:
-                    yield from out.add((first[entry], digest, None, record, members), 16 * len(members) + 100)
+                    yield from out.add((first[entry], digest, None, record, None, members), 16 * len(members) + 100)
         yield from out.flush()
 
     return run
@@ -148,13 +154,18 @@ def classes(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
     spilled, level, found = rows.mapInArrow(fold(table_bytes), RECORD_SQL), 0, None
     while True:
-        dealt = spilled.repartition(F.xxhash64("digest", F.lit(level)))
+        dealt = spilled.repartition(F.xxhash64(F.when(F.col("of").isNull(), F.hex("digest")).otherwise(F.col("record")), F.lit(level)))
         done = stored(dealt.mapInArrow(resolve(table_bytes), RESOLVED_SQL), f"grace-{level}")
         kept = done.where("class is not null").drop("content")
         found = kept if found is None else found.unionByName(kept)
         spilled, level = done.where("class is null").drop("class"), level + 1
         if spilled.isEmpty():
-            return found
+            break
+    more = found.where("of is not null").drop("class")
+    own = found.where("of is null")
+    if more.isEmpty():
+        return own
+    return own.unionByName(more.join(own.select(F.col("record").alias("of"), "class"), "of"))
 
 
 def exact_duplicates(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
