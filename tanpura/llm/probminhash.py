@@ -7,7 +7,7 @@ The share of equal registers estimates the probability Jaccard similarity.
 
 Texts with equal words are one node. Nodes that share a band of registers meet in a bucket. In each bucket every member
 is first held against two hubs, the members of smallest and largest key. Similarity is computed exactly from the
-shingles; pairs of SIMILARITY or more are links. In further rounds, while its hubs bring links, a bucket takes as hubs
+shingles; pairs of SIMILARITY or more are links. In further rounds, while its hubs bring links, a LARGE bucket takes as hubs
 the CENTRAL members with most links (a text that others are copies of) and holds against them all members of other
 components; and 2, 4, 8 ... members of components that gave no hub yet, which are held against the CENTRAL members with
 most links of each other component. So large families become one component by stars, in proportion to their members.
@@ -45,7 +45,9 @@ REGISTERS = BANDS * BAND_ROWS
 #: Members with most links that a bucket takes as hubs in each further round.
 CENTRAL = 2
 #: Members of a block, shingles of a block (repeats included) beyond which it has fewer members, and columns of a matrix that is held at once.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 21, 1 << 12
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 21, 1 << 12
+#: Members beyond which a bucket gets further hubs before it is compared in blocks.
+LARGE = 8 * BLOCK
 #: Shingles that are sketched at once, and words that a worker's memo holds.
 GROUP_SHINGLES, MEMO_WORDS = 1 << 17, 200_000
 
@@ -346,10 +348,11 @@ def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataF
     """(key, label) of the components that links between nodes (key, bands) make, for all nodes that share a band; None without any."""
     members = nodes.select("key", F.explode("bands").alias("value"))
     # Written, like other sides that are grouped, so that Spark can split a very large bucket in the join.
-    ends = stored(members.groupBy("value").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last"), "buckets")
+    ends = stored(members.groupBy("value").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("members")).where("first < last"), "buckets")
     # Members of buckets of two and more, each beside its bucket's hubs.
     crowded = stored(members.join(ends, "value"), "crowded")
-    hubs = ends.select("value", F.explode(F.array("first", "last")).alias("hub"))
+    large = stored(ends.where(F.col("members") > LARGE).select("value", "first", "last"), "large")
+    hubs = large.select("value", F.explode(F.array("first", "last")).alias("hub"))
     pairs = crowded.select("value", "key", F.explode(F.array("first", "last")).alias("hub")).where(F.col("key") != F.col("hub"))
     pairs = stored(pairs.select("value", F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")), "pairs")
     if pairs.isEmpty():
@@ -362,12 +365,14 @@ def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataF
     size = keys.count()
     tried, bound = pairs.select("a", "b").distinct(), 1
     new = stored(verified(tried, sets, least), "links")
-    label_of = lambda rows, key: rows.join(small_side(labels).withColumnRenamed("key", key), key)
-    hubs, many = stored(hubs, "hubs"), crowded.count()
-    found = None
-    while n := new.count():
-        found = new if found is None else found.union(new)
+    found, n = new, new.count()
+    if n:
         labels = relabelled(labels, new, n, size)
+    label_of = lambda rows, key: rows.join(small_side(labels).withColumnRenamed("key", key), key)
+    crowded = crowded.join(small_side(large).select("value"), "value", "left_semi")
+    many = 0 if large.isEmpty() else crowded.count()
+    pairs, hubs = pairs.join(small_side(large).select("value"), "value", "left_semi"), stored(hubs, "hubs")
+    while n and many:
         # A bucket goes on while its hubs bring links and it has components that gave no hub yet.
         alive = small_side(stored(pairs.join(small_side(new), ["a", "b"], "left_semi").select("value").distinct(), "alive", many))
         known = stored(label_of(crowded.join(alive, "value", "left_semi"), "key").select("value", "key", "label"), "crowded", many)
@@ -389,6 +394,9 @@ def links(docs: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataF
         apart = pairs.select("a", "b").distinct()
         new = stored(verified(apart, sets, least), "links")
         crowded, hubs, tried, bound = known.select("value", "key"), hubs.union(chosen.select("value", "hub")), tried.union(apart), bound + 1
+        found, n = found.union(new), new.count()
+        if n:
+            labels = relabelled(labels, new, n, size)
     return completed(whole, labels, sets, least, size)
 
 
