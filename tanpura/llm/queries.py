@@ -39,7 +39,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("spans", "kept")
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("spans", "passages", "kept")
 
 
 def op5_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

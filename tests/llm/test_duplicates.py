@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -104,6 +105,25 @@ def cut_out(rows, length):
     return want
 
 
+def shared_passages(rows, least):
+    """For each row how many maximal runs of at least so many words also stand in a row of another doc_id."""
+    where, found = defaultdict(set), []
+    known = lambda i, t: ("null", t) if i is None else i
+    for i, t in rows:
+        w = [x for x in re.split(r"[ \t-\r]+", t or "") if x]
+        for at in range(len(w) - least + 1):
+            where[tuple(w[at : at + least])].add(known(i, t))
+    for i, t in rows:
+        w = [x for x in re.split(r"[ \t-\r]+", t or "") if x]
+        held = np.zeros(len(w) + 1, int)
+        for at in range(len(w) - least + 1):
+            if len(where[tuple(w[at : at + least])]) > 1:
+                held[at : at + least] = 1
+        # Runs that touch without a common word are one.
+        found.append(int(np.sum(np.diff(held, prepend=0) == 1)))
+    return found
+
+
 def passages(seed):
     rng = random.Random(seed)
     text = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
@@ -125,12 +145,43 @@ def key(row):
     return (row[0] is None, row[0] or 0, *row[1:])
 
 
-@pytest.mark.parametrize("hot", [1, 1000])
+@pytest.mark.parametrize("hot", [1, 5, 1000])
 def test_repeats_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     rows = passages(hot)
-    got = [tuple(r)[:5] for r in repeats.remove_repeats(docs(spark, rows).repartition(3)).collect()]
-    assert sorted(got, key=key) == sorted(cut_out(rows, repeats.LENGTH), key=key)
+    got = [tuple(r)[:6] for r in repeats.remove_repeats(docs(spark, rows).repartition(3)).collect()]
+    want = [(*r, n) for r, n in zip(cut_out(rows, repeats.LENGTH), shared_passages(rows, repeats.PASSAGE), strict=True)]
+    assert sorted(got, key=key) == sorted(want, key=key) and sum(r[5] for r in want) > 30
+
+
+def test_short_passages_in_other_documents_are_counted(spark):
+    """Passages of over 50 words and under 400 bytes, whatever the white space; not those of 50 words, nor those within one document."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    text = lambda n: " ".join(word() for _ in range(n))
+    shared, short, own = text(51), text(50), text(60)
+    rows = [(1, f"{text(30)} {shared} {text(40)}"), (2, f"{text(9)}\n{shared.replace(' ', chr(10), 5)} {text(80)}"), (3, f"{text(9)} {short} {text(9)}"), (4, f"{short} {text(70)}"), (5, f"{own} {text(3)} {own}"), (6, text(300)), (7, None)]
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(docs(spark, rows)).collect()}
+    assert {i: r["n_passages"] for i, r in got.items()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0, 7: 0}
+    assert not any(r["n_removed"] for r in got.values())
+    low, high = got[1]["passages"]
+    assert rows[0][1].encode()[low:high].decode() == shared
+
+
+def test_a_key_under_thousands_of_contexts_is_split(spark, monkeypatch):
+    """One passage in many documents with different surroundings, so that no two contexts fold."""
+    monkeypatch.setattr(repeats, "HOT", 20)
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(430)
+    rows = [(i, text(300) + passage[rng.randint(0, 20) : rng.randint(405, 430)] + text(200)) for i in range(150)]
+    seen = []
+    split = repeats.longer_anchors
+    monkeypatch.setattr(repeats, "longer_anchors", lambda b: split(b))
+    differing = repeats.differing
+    monkeypatch.setattr(repeats, "differing", lambda read: seen.append(1) or differing(read))
+    got = [tuple(r)[:5] for r in repeats.remove_repeats(docs(spark, rows)).collect()]
+    assert sorted(got, key=key) == sorted(cut_out(rows, repeats.LENGTH), key=key) and len(seen) > 1
 
 
 def test_kept_bytes_and_spans(spark):
@@ -141,12 +192,14 @@ def test_kept_bytes_and_spans(spark):
 
 
 def test_small_segments_give_the_same(monkeypatch):
-    raw = "".join(t or "" for _, t in passages(3)).encode()
-    whole = repeats.occurrences(raw)
-    monkeypatch.setattr(repeats, "SEGMENT", 1000)
-    parts = repeats.occurrences(raw)
-    covered = lambda found: sorted(x for first, n in zip(found[0], found[2], strict=True) for x in range(first, first + n))
-    assert covered(whole) == covered(parts) == list(range(len(raw) - repeats.LENGTH + 1))
+    texts = [b"", *((t or "").encode() for _, t in passages(3)), b""]
+    for of, sizes, length in ((repeats.occurrences, [len(t) for t in texts], repeats.LENGTH), (repeats.word_occurrences, [len(t.split()) for t in texts], repeats.PASSAGE)):
+        monkeypatch.setattr(repeats, "SEGMENT", 1 << 20)
+        whole = of(texts)
+        monkeypatch.setattr(repeats, "SEGMENT", 1000)
+        parts = of(texts)
+        covered = lambda found: sorted((t, x) for t, first, n in zip(found[0], found[1], found[3], strict=True) for x in range(first, first + n))
+        assert covered(whole) == covered(parts) == [(t, x) for t, n in enumerate(sizes) for x in range(n - length + 1)]
 
 
 def words(rng, n):
@@ -180,7 +233,10 @@ def brute_classes(rows):
     return label
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("large", [2, 4096])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, large):
+    """With further hubs in every bucket of more than two, and with blocks alone."""
+    monkeypatch.setattr(probminhash, "LARGE", large)
     rows = near_rows()
     got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(docs(spark, rows).repartition(3)).collect()}
     assert [got[i] for i, _ in rows] == brute_classes(rows)
@@ -199,6 +255,86 @@ def test_a_bucket_is_compared_whole(spark):
     assert made == {k: k for k in keys} | {k: ends[0] for k in ends}
 
 
+def family(rng, n, planted):
+    """Texts that share three quarters of their words with each other but too few for a link, and pairs that are links."""
+    base = words(rng, 220)
+    rows = []
+    for _ in range(n):
+        copy = base[:]
+        for at in range(4, 220, 40):
+            copy[at] = f"n{rng.randrange(10**9)}"
+        rows.append(copy)
+    for i in range(planted):
+        near = rows[i][:]
+        near[-1] = f"m{i}"
+        rows.append(near)
+    return [" ".join(r) for r in rows]
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_a_crowded_bucket_misses_no_link(spark, monkeypatch, block):
+    """All texts in one bucket, without any rounds of hubs: blocks alone find the links among them."""
+    monkeypatch.setattr(probminhash, "BLOCK", block)
+    monkeypatch.setattr(probminhash, "COLUMNS", 64)
+    rng = random.Random(6)
+    texts = family(rng, 120, 20) + [" ".join(words(rng, 100)) for _ in range(20)]
+    rng.shuffle(texts)
+    sets = [np.repeat(*probminhash.shingles(t.split())) for t in texts]
+    near = [probminhash.similarity(a, b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert sum(0.7 <= x < 0.8 for x in near) > 5000
+    keys = [probminhash.key_of(t.split()) for t in texts]
+    shingled = [(k, ((s >> np.uint64(32)).astype(np.uint32).view(np.int32)).tolist(), len(s)) for k, s in zip(keys, sets, strict=True)]
+    frame = spark.createDataFrame(shingled, "key binary, shingles array<int>, length long")
+    # One component of some size, so that it gets blocks of its own.
+    labels = spark.createDataFrame([(k, keys[0] if i < 12 else k) for i, k in enumerate(keys)], "key binary, label binary")
+    got = {bytes(r["key"]): bytes(r["label"]) for r in probminhash.completed(frame.selectExpr("1L as value", "key"), labels, frame, 0.8, len(keys)).collect()}
+    want = brute_classes(list(enumerate(texts)))
+    first = {want[i] for i in range(12)}
+    want = [min(first) if x in first else x for x in want]
+    assert len({*got.values()}) == len(set(want)) and all((got[keys[i]] == got[keys[0]]) == (want[i] == want[0]) for i in range(len(keys)))
+    assert {frozenset(i for i, k in enumerate(keys) if got[k] == v) for v in got.values()} == {frozenset(i for i, x in enumerate(want) if x == v) for v in want}
+
+
+def test_links_among_documents_by_brute_force(spark):
+    """Of all links of 0.8 and more between documents of sf0.01, by every pair that shares a shingle, how many are within a class."""
+    table = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r["doc_id"]: probminhash.words_of((r["text"] or "").encode()) for r in table.collect()}
+    one = {probminhash.key_of(w): i for i, w in texts.items() if w}  # a document for each text
+    sets = {i: np.repeat(*probminhash.shingles(texts[i])) for i in one.values()}
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for h in set(s.tolist()):
+            holders[h].append(i)
+    pairs = {(a, b) for held in holders.values() for n, b in enumerate(held) for a in held[:n]}
+    near = [(a, b) for a, b in pairs if probminhash.similarity(sets[a], sets[b]) >= 0.8]
+    class_of = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(table).collect()}
+    found = sum(class_of[a] == class_of[b] for a, b in near)
+    print(f"{found} of {len(near)} links")
+    assert len(near) >= 5 and found >= 0.9 * len(near)
+    # Nothing but links joins a class.
+    label = {i: i for i in sets}
+    for a, b in near:
+        old, new = label[b], label[a]
+        label = {i: new if x == old else x for i, x in label.items()} if old != new else label
+    assert len({class_of[i] for i in sets}) == len(set(label.values()))
+
+
+def test_planted_pairs_of_a_large_family_are_found(spark):
+    rng = random.Random(9)
+    rows = list(enumerate(family(rng, 1000, 30)))
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(docs(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == [i if i < 1000 else i - 1000 for i, _ in rows]
+
+
+def test_bounds_hold():
+    rng = random.Random(5)
+    sets = [np.array([rng.randint(0, 40) for _ in range(rng.randint(1, 60))], np.int32) for _ in range(60)]
+    high = probminhash.bounds(sets[:30], sets[30:])
+    for i, a in enumerate(sets[:30]):
+        for j, b in enumerate(sets[30:]):
+            assert probminhash.similarity(a, b) <= high[i, j] + 1e-5
+
+
 def test_near_dedup_keeps_one_of_each_class(spark):
     rows = near_rows()
     frame = docs(spark, [*rows, rows[0], rows[0], (None, rows[1][1])])
