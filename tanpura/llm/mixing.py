@@ -32,6 +32,8 @@ WEIGHTS, MOST = (1, 2, 3), 3
 WORDS = r"[^\x20\x09-\x0D]+"
 #: A document at the end of a source's part is taken whole or not at all, unless that misses the target by more than this share.
 MISS = 0.05
+#: Pieces of shards for each task that writes the mix, so that tasks are about equal.
+PIECES = 8
 
 
 def size_of(text: str = "text") -> Column:
@@ -121,8 +123,8 @@ def hypergeometric(u: Column, good: Column, total: Column, drawn: Column) -> Col
 ENTRY = "array<struct<member: bigint, quota: bigint, left: bigint>>"
 
 
-def drawn_left(groups: DataFrame, level: int, seed: int) -> DataFrame:
-    """(node, drawn, total, q: members with their quotas) to (node, member, quota, left): how many of the drawn slots each member gives."""
+def drawn_left(level: int, seed: int) -> Column:
+    """Of node, drawn, total and q (members with their quotas): an array of (member, quota, left), left being how many of the drawn slots each member gives."""
     state = F.struct(F.col("total"), F.col("drawn"), F.array().cast(ENTRY).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
@@ -135,7 +137,7 @@ def drawn_left(groups: DataFrame, level: int, seed: int) -> DataFrame:
 
         return F.element_at(F.transform(here, taken), 1)
 
-    return groups.select("node", F.explode(F.aggregate("q", state, step, lambda a: a["out"])).alias("e")).select("node", "e.*")
+    return F.aggregate("q", state, step, lambda a: a["out"])
 
 
 def split(quotas: DataFrame, sources: int, shards: int = SHARDS, seed: int = 0) -> DataFrame:
@@ -143,6 +145,7 @@ def split(quotas: DataFrame, sources: int, shards: int = SHARDS, seed: int = 0)
     depth = 1
     while FAN**depth < sources:
         depth += 1
+    given = [drawn_left(level, seed) for level in range(depth)]  # built once, as an expression is the same at every node
     nodes = quotas.select(F.lit(1).cast("long").alias("node"), (F.col("source_no") - 1).cast("long").alias("member"), F.col("quota").cast("long").alias("quota"))
     for _ in range(shards.bit_length() - 1):
         drawn = None
@@ -152,7 +155,7 @@ def split(quotas: DataFrame, sources: int, shards: int = SHARDS, seed: int = 0)
             q = F.sort_array(F.collect_list(F.struct("member", "quota"))).alias("q")  # at most FAN
             groups = sums.groupBy("node", F.floor(F.col("member") / FAN).alias("parent")).agg(q, F.sum("quota").alias("total"))
             groups = groups.withColumn("drawn", F.floor(F.col("total") / 2)) if drawn is None else groups.join(drawn, ["node", "parent"])
-            parts = drawn_left(groups, level, seed)
+            parts = groups.select("node", F.explode(given[level]).alias("e")).select("node", "e.*")
             drawn = parts.select("node", F.col("member").alias("parent"), F.col("left").alias("drawn"))
         halves = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("quota")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("quota") - F.col("left")).alias("quota")))
         nodes = parts.select("member", F.explode(halves).alias("h")).select("h.node", "member", "h.quota")
@@ -227,13 +230,13 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0, size: Column | Non
 def mixed_rows(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """The mix: docs' columns, a row for each time that a document is taken, shard by shard and shuffled within each.
 
-    A shard is dealt to several tasks by the first bits of a row's place, and each task's rows are in the order of shard
-    and place. A document at the end of a source's part is taken whole or not, whichever is nearer to the target; where
+    A shard is dealt to several tasks in PIECES for each, by the first bits of a row's place, and each task's rows are in
+    the order of shard and place. A document at the end of a source's part is taken whole or not, whichever is nearer to the target; where
     that would miss it by far (MISS), its first words are taken as they stand, with their n_chars.
     """
     made, named = drawn(docs, shards, seed, whole=True)
     draw, piece = fresh("mix_draw", made.columns), fresh("mix_piece", made.columns)
-    pieces = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    pieces = max(1, PIECES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
     rows = made.withColumn(draw, F.explode(named["draws"]))
     rows = rows.withColumn(piece, F.floor((F.shiftright(F.col(draw)["place"], 32) + (1 << 31)) * pieces / F.lit(1 << 32)))
     rows = rows.repartition(F.col(draw)["shard"], F.col(piece)).sortWithinPartitions(F.col(draw)["shard"], F.col(piece), F.col(draw)["place"], "doc_id")
