@@ -172,11 +172,14 @@ def edited_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame
     if not heads:
         return rows.mapInArrow(lambda batches: iter(()), EDITED_SQL)
     # The first document of each range is a ghost at the end of the range before it; that of the first, of the last.
-    follows = [(h["range"], h["head"], heads[i - 1]["range"]) for i, h in enumerate(heads)]
-    small = F.broadcast(spark.createDataFrame(follows, "range long, head bigint, target long"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    follows = [(h["range"], h["head"], heads[i - 1]["range"], i % tasks) for i, h in enumerate(heads)]
+    small = F.broadcast(spark.createDataFrame(follows, "range long, head bigint, target long, task int"))
     tied = F.xxhash64("text")
     ghosts = ranged.join(small, "range").where(F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("target", "doc_id").agg(F.min(F.struct(tied.alias("tie"), "text")).alias("first"))
     ghosts = ghosts.select(F.col("target").alias("range"), F.lit(True).alias("ghost"), "doc_id", F.col("first.tie").alias("tie"), F.col("first.text").alias("text"))
-    dealt = ranged.select("range", F.lit(False).alias("ghost"), "doc_id", tied.alias("tie"), "text").unionByName(ghosts).repartition("range")
+    dealt = ranged.select("range", F.lit(False).alias("ghost"), "doc_id", tied.alias("tie"), "text").unionByName(ghosts)
+    # Every task gets as many ranges, which a hash of the range wouldn't give.
+    dealt = dealt.join(small.select("range", "task"), "range").repartitionById(tasks, F.col("task"))
     ordered = dealt.sortWithinPartitions("range", "ghost", F.col("doc_id").desc_nulls_last(), "tie")
     return ordered.select("range", "ghost", "doc_id", "text").mapInArrow(compare, EDITED_SQL)
