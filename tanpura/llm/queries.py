@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tanpura.llm import bpe, grace, lineblocks, mixing, omh, probminhash, quality, repeats, tokenscan, toxicity
+from tanpura.llm import bpe, grace, lineblocks, mixing, omh, probminhash, quality, repeats, simhash, tokenscan, toxicity, whitening
 from tanpura.llm.common import stored
 
 
@@ -73,8 +73,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_order_minhash, op2_bpe, op3_exact_dedup, op4_suffix_arrays, op5_probminhash, op6_lineblocks, op7_toxicity, op8_token_counts, op9_mixing, op10_quality]
+    found = [op1_order_minhash, op2_bpe, op3_exact_dedup, op4_suffix_arrays, op5_probminhash, op6_lineblocks, op7_toxicity, op8_token_counts, op9_mixing, op10_quality, op11_simhash, op13_whitening]
     return {f.__name__: f for f in found}
 
 
