@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tanpura.llm import bpe, grace, lineblocks, mixing, omh, probminhash, quality, repeats, simhash, tokenscan, toxicity, whitening
+from tanpura.llm import bpe, grace, lineblocks, mixing, omh, probminhash, quality, repeats, simhash, tokenscan, toxicity, trie, whitening
 from tanpura.llm.common import stored
 
 
@@ -77,12 +77,16 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_order_minhash, op2_bpe, op3_exact_dedup, op4_suffix_arrays, op5_probminhash, op6_lineblocks, op7_toxicity, op8_token_counts, op9_mixing, op10_quality, op11_simhash, op13_whitening]
+    found = [op1_order_minhash, op2_bpe, op3_exact_dedup, op4_suffix_arrays, op5_probminhash, op6_lineblocks, op7_toxicity, op8_token_counts, op9_mixing, op10_quality, op11_simhash, op12_trie, op13_whitening]
     return {f.__name__: f for f in found}
 
 
@@ -174,5 +178,47 @@ from p left join drawn on drawn.n = p.n and drawn.block = p.block and drawn.doc_
 """
 
 
+#: The CRC of a decimal number byte by byte from its table, the rebuilt conversations, and nodes named by all their turns' digests.
+OP12_SQL = r"""
+with recursive bits as (
+  select range as i, range as c, 0 as k from range(256)
+  union all
+  select i, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, k + 1 from bits where k < 8),
+crc as (
+  select i, c from bits where k = 8),
+own as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos,
+    md5(coalesce(role, '') || chr(0) || coalesce(text, '')) as said, strlen(coalesce(text, '')) as bytes
+  from conversations where conv_id is not null),
+n as (
+  select conv_id, max(pos) as n, conv_id - conv_id % 5 as base from own group by conv_id),
+walk as (
+  select conv_id, cast(conv_id as varchar) as s, 1 as at, cast(4294967295 as bigint) as c from n
+  union all
+  select conv_id, s, at + 1, xor(walk.c // 256, crc.c) from walk join crc on crc.i = xor(walk.c % 256, ord(substr(s, at, 1))) where at <= length(s)),
+heads as (
+  select n.conv_id, n.base, xor(c, 4294967295) % 9 as h, least(xor(c, 4294967295) % 9, coalesce(b.n, 0)) as m
+  from walk join n using (conv_id) left join n b on b.conv_id = n.base where at > length(s)),
+turns as (
+  select heads.conv_id, pos as depth, said, bytes from heads join own on own.conv_id = base where pos <= m
+  union all
+  select heads.conv_id, pos - h + m, said, bytes from heads join own using (conv_id) where pos > h
+  union all
+  select conv_id, 0, '', 0 from heads),
+way as (
+  select *, string_agg(said, '') over (partition by conv_id order by depth rows unbounded preceding) as node, depth = max(depth) over (partition by conv_id) as ends from turns),
+nodes as (
+  select node, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(bytes) as bytes, coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '') as members
+  from way group by node, depth),
+kids as (
+  select left(node, 32 * (depth - 1)) as node, count(*) as n_children from nodes where depth > 0 group by all),
+sums as (
+  select left(node, 32 * up) as node, count(*) filter (n_children is null) as n_leaves, sum((n_convs - 1) * bytes) as saved_tokens
+  from (select nodes.*, n_children, unnest(range(nodes.depth + 1)) as up from nodes left join kids using (node)) group by left(node, 32 * up))
+select nodes.conv_id, cast(nodes.depth as bigint) as depth, p.conv_id as parent_conv_id, nodes.n_convs, coalesce(n_children, 0) as n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(nodes.members) as ends_sha256
+from nodes left join kids using (node) join sums using (node) left join nodes p on p.node = left(nodes.node, 32 * (nodes.depth - 1)) and p.depth = nodes.depth - 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op9_mixing": OP9_SQL, "op12_trie": OP12_SQL}
