@@ -193,12 +193,12 @@ own as (
 n as (
   select conv_id, max(pos) as n, conv_id - conv_id % 5 as base from own group by conv_id),
 walk as (
-  select conv_id, cast(conv_id as varchar) as s, 1 as at, cast(4294967295 as bigint) as c from n
+  select conv_id, cast(conv_id as varchar) as s, 1 as place, cast(4294967295 as bigint) as c from n
   union all
-  select conv_id, s, at + 1, xor(walk.c // 256, crc.c) from walk join crc on crc.i = xor(walk.c % 256, ord(substr(s, at, 1))) where at <= length(s)),
+  select conv_id, s, place + 1, xor(walk.c // 256, crc.c) from walk join crc on crc.i = xor(walk.c % 256, ord(substr(s, place, 1))) where place <= length(s)),
 heads as (
   select n.conv_id, n.base, xor(c, 4294967295) % 9 as h, least(xor(c, 4294967295) % 9, coalesce(b.n, 0)) as m
-  from walk join n using (conv_id) left join n b on b.conv_id = n.base where at > length(s)),
+  from walk join n using (conv_id) left join n b on b.conv_id = n.base where place > length(s)),
 turns as (
   select heads.conv_id, pos as depth, said, bytes from heads join own on own.conv_id = base where pos <= m
   union all
