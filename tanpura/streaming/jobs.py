@@ -4,6 +4,9 @@ Each job reads a file stream, runs over what is there (availableNow) unless told
 checkpoint, in the folder that driver and executors share. A micro-batch takes at most BATCH_BYTES of files, so that a
 key's rows in one batch are bounded whatever the log's length.
 
+Folds that depend on the order of events (streaming.ordered) wait until the watermark, DELAY behind the latest event, has
+passed an event, so that files may come in any order within the delay; what comes later is marked, not lost.
+
 Results that wait for a watermark are complete once the stream is closed: after the data, an end marker (a row dated
 END) is sent through the same query, so that the watermark passes everything that waits.
 """
@@ -13,19 +16,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tanpura.operators.analyze import analyze
 from tanpura.operators.compose import compose, rejected
 from tanpura.operators.notifications import REMOVE_DELAY
-from tanpura.session import settings, shared_path
+from tanpura.session import settings, shared_path, ship
 from tanpura.sources import tables
+from tanpura.streaming.ordered import Expiry, InFlight, InOrder, Pending, in_order
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Bytes of files that a micro-batch takes, and when an end marker is dated.
 BATCH_BYTES, END = 1 << 30, "timestamp'9000-01-01 00:00:00'"
+#: How far behind the latest event one may come: the tables are logs of a month, whose files may come in any order.
+DELAY = "31 days"
 
 
 def stream(spark: SparkSession, folder: str, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -42,6 +48,7 @@ def base_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def run(rows: DataFrame, name: str, out: str | None = None) -> DataFrame:
     """Run a stream over what is there and read what it wrote; with the same out again, over what is new."""
     spark = rows.sparkSession
+    ship(spark)
     out = out or shared_path(spark, name)
     with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
         query = rows.writeStream.format("parquet").outputMode("append").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
@@ -90,11 +97,6 @@ def stream_compose(spark: SparkSession, folder: str) -> DataFrame:
     return good.union(spark.read.parquet(f"{out}/rejected").select("request_id", F.lit(False).alias("accepted"), F.col("missing").alias("detail")))
 
 
-def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A key's rows of one batch by time."""
-    return pd.concat(rows).sort_values(["ts", "event_id"], kind="stable")
-
-
 class SessionState(StatefulProcessor):
     """The events that set a session's file, analysis and composition; after each batch the state as it then is.
 
@@ -126,67 +128,6 @@ class SessionState(StatefulProcessor):
         pass
 
 
-class InFlight(StatefulProcessor):
-    """Accepts a call iff seconds have passed since the session's last accepted one."""
-
-    def __init__(self, seconds: float):
-        self.seconds = seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        table = pd.concat(rows).sort_values(["us", "recording_id"], kind="stable")
-        keep = []
-        for at in table["us"].tolist():
-            keep.append(last is None or at >= last + self.seconds * 1e6)
-            last = at if keep[-1] else last
-        self.last.update((last,))
-        yield pd.DataFrame({"recording_id": table["recording_id"], "session_id": key[0], "accepted": keep})
-
-    def close(self) -> None:
-        pass
-
-
-class Expiry(StatefulProcessor):
-    """Drops a dismissed notification a fixed time after its first DISMISS, by an event-time timer.
-
-    Where a session's next notification comes at that time or later within the same batch, the timer has run out before.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.shown = handle.getValueState("shown", "toast_id long, expires_ms long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        toast, expires = self.shown.get() if self.shown.exists() else (None, None)
-        timer, ended = expires, []
-        table = in_order(rows)
-        for event, action, ms in zip(table["event_id"].tolist(), table["action"], table["ms"].tolist(), strict=True):
-            if action == "ADD":
-                if expires is not None and expires <= ms:
-                    ended.append((key[0], toast, expires))
-                toast, expires = int(event), None
-            elif action == "DISMISS" and toast is not None and expires is None:
-                expires = ms + REMOVE_DELAY
-        if timer is not None and timer != expires:
-            self.handle.deleteTimer(timer)
-        if expires is not None and timer != expires:
-            self.handle.registerTimer(expires)
-        if toast is not None:
-            self.shown.update((toast, expires))
-        yield pd.DataFrame(ended, columns=["session_id", "toast_id", "expires_ms"]).astype("int64")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        toast, expires = self.shown.get()
-        self.shown.clear()
-        yield pd.DataFrame({"session_id": [key[0]], "toast_id": [toast], "expires_ms": [expires]})
-
-    def close(self) -> None:
-        pass
-
-
 def stream_session_state(spark: SparkSession, folder: str) -> DataFrame:
     """Each session's state after the last batch that had events of it."""
     events = stream(spark, folder, tables.session_events).select("event_id", "session_id", F.unix_micros("ts").alias("us"), "action")
@@ -195,40 +136,46 @@ def stream_session_state(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("session_id").agg(F.max_by(F.struct("file_event", "analysis_event", "composition_event"), "seen").alias("s")).select("session_id", "s.*")
 
 
-def stream_in_flight(spark: SparkSession, folder: str, seconds: float = 6 * 3600) -> DataFrame:
-    calls = stream(spark, folder, tables.analysis_calls).select("recording_id", "session_id", F.unix_micros("requested_at").alias("us"))
-    return run(calls.groupBy("session_id").transformWithStateInPandas(InFlight(seconds), "recording_id long, session_id long, accepted boolean", "Append", "None"), "stream-in-flight")
+def folded(spark: SparkSession, name: str, rows: DataFrame, key: str, at: str, what: Column, order: str, processor: InOrder, delay: str) -> DataFrame:
+    """The stream rows folded in order of time, to its end: the processor's rows with late, which marks those that no decision could be made for."""
+
+    def made(closed) -> DataFrame:
+        return in_order(closed(rows), key, at, what, order, processor, delay, F.expr(END))
+
+    return run_to_end(spark, name, {at: END}, made)
+
+
+def stream_in_flight(spark: SparkSession, folder: str, seconds: float = 6 * 3600, delay: str = DELAY) -> DataFrame:
+    """Each call and whether a running call suppresses it; accepted is null for a call that came later than the delay."""
+    calls = stream(spark, folder, tables.analysis_calls).select("session_id", F.col("requested_at").alias("at"), "recording_id")
+    return folded(spark, "stream-in-flight", calls, "session_id", "at", F.lit("CALL"), "recording_id", InFlight(seconds), delay).drop("late")
 
 
-def stream_expiry(spark: SparkSession, folder: str) -> DataFrame:
-    """Notifications that were dismissed and expired before the session's next one came, or by the stream's end."""
+def stream_expiry(spark: SparkSession, folder: str, delay: str = DELAY) -> DataFrame:
+    """Notifications that were dismissed and expired before the session's next one came, or by the stream's end; expires_ms is null for an event that came later than the delay."""
     base = base_stream(spark, folder, "events")
     # An event names the session's latest notification or all, which is the same here: the state holds one.
-    action = F.expr("case event_type when 'view' then 'ADD' when 'click' then 'ADD' when 'purchase' then 'UPDATE' when 'signup' then 'DISMISS' else 'REMOVE' end")
-    events = base.select("event_id", F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), action.alias("action")).where("action in ('ADD', 'DISMISS')")
+    action = F.expr("case event_type when 'view' then 'ADD' when 'click' then 'ADD' when 'signup' then 'DISMISS' end")
+    events = base.select("event_id", F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("at"), action.alias("action")).where("action is not null")
+    return folded(spark, "stream-expiry", events, "session_id", "at", F.col("action"), "event_id", Expiry(REMOVE_DELAY), delay).drop("late")
 
-    def made(closed) -> DataFrame:
-        # The marker goes after it has moved the watermark: a condition on the event time stays above it.
-        rows = closed(events).withColumn("ms", F.unix_millis("ts")).withWatermark("ts", "0 seconds").where(F.col("ts") < F.expr(END))
-        return rows.groupBy("session_id").transformWithStateInPandas(Expiry(), "session_id long, toast_id long, expires_ms long", "Append", "EventTime")
 
-    return run_to_end(spark, "stream-expiry", {"ts": END}, made)
+def stream_pending(spark: SparkSession, folder: str, hours: int = 14, delay: str = DELAY) -> DataFrame:
+    """Calls without a result within so many hours, to the stream's end. Rows that came later than the delay are not among them: pending_late() has those."""
+    return _pending(spark, folder, hours, delay).where("not late").select("recording_id", "session_id")
 
 
-def stream_pending(spark: SparkSession, folder: str, hours: int = 14) -> DataFrame:
-    """Calls without a result within so many hours: an outer interval join of two streams, to the stream's end."""
-    calls = stream(spark, folder, tables.analysis_calls)
-    asked = calls.select("recording_id", "session_id", F.col("requested_at").alias("at"))
-    done = calls.where("completed_at is not null").select(F.col("recording_id").alias("done_id"), F.col("completed_at").alias("at"))
+def pending_late(spark: SparkSession, folder: str, hours: int = 14, delay: str = DELAY) -> DataFrame:
+    """Calls, and results (session_id null), that came later than the delay."""
+    return _pending(spark, folder, hours, delay).where("late").select("recording_id", "session_id")
 
-    def made(closed) -> DataFrame:
-        left = closed(asked).withColumnRenamed("at", "requested_at").withWatermark("requested_at", "0 seconds")
-        right = closed(done).withColumnRenamed("at", "completed_at").withWatermark("completed_at", "0 seconds")
-        near = (F.col("recording_id") == F.col("done_id")) & (F.col("completed_at") >= F.col("requested_at")) & (F.col("completed_at") <= F.col("requested_at") + F.expr(f"interval {hours} hours"))
-        return left.join(right, near, "leftOuter")
 
-    found = run_to_end(spark, "stream-pending", {"at": END, "recording_id": "-1L", "done_id": "-1L"}, made)  # the two markers meet
-    return found.where("done_id is null").select("recording_id", "session_id")
+def _pending(spark: SparkSession, folder: str, hours: int, delay: str) -> DataFrame:
+    calls = stream(spark, folder, tables.analysis_calls)
+    asked = F.struct(F.col("requested_at").alias("at"), F.lit(0).cast("long").alias("order"), F.col("session_id").cast("string").alias("what"))
+    done = F.struct(F.col("completed_at").alias("at"), F.lit(1).cast("long").alias("order"), F.lit(Pending.DONE).alias("what"))
+    events = calls.select("recording_id", F.explode(F.array(asked, done)).alias("e")).select("recording_id", "e.at", "e.order", "e.what").where("at is not null")
+    return folded(spark, "stream-pending", events, "recording_id", "at", F.col("what"), "order", Pending(hours * 3_600_000_000), delay)
 
 
 def stream_distinct_requests(spark: SparkSession, folder: str) -> DataFrame:

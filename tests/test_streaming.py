@@ -22,6 +22,38 @@ def test_pending_calls_are_those_without_a_result(spark, small):
     assert sorted(r["recording_id"] for r in jobs.stream_pending(spark, small).collect()) == batch
 
 
+def shuffled(spark, small, tmp_path, monkeypatch, n=3):
+    """The events in files out of time order, one to a batch."""
+    monkeypatch.setattr(jobs, "BATCH_BYTES", 1)
+    session.table(spark, small, "events").repartition(n).write.parquet(f"file://{tmp_path}/events.parquet")
+    return f"file://{tmp_path}"
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+@pytest.mark.parametrize("job", [jobs.stream_in_flight, jobs.stream_pending, jobs.stream_expiry], ids=lambda f: f.__name__)
+def test_files_out_of_order_change_nothing(spark, small, tmp_path, monkeypatch, job):
+    want = rows(job(spark, small))
+    assert rows(job(spark, shuffled(spark, small, tmp_path, monkeypatch))) == want and want
+
+
+def test_calls_later_than_the_delay_are_marked(spark, small, tmp_path, monkeypatch):
+    calls = tables.load(spark, small, tables.analysis_calls)
+    got = jobs.stream_in_flight(spark, shuffled(spark, small, tmp_path, monkeypatch), delay="1 hour").collect()
+    late = [r for r in got if r["accepted"] is None]
+    assert late and sorted(r["recording_id"] for r in got) == sorted(r["recording_id"] for r in calls.collect())
+
+
+def test_late_calls_and_results_are_given_apart(spark, small, tmp_path, monkeypatch):
+    calls = tables.load(spark, small, tables.analysis_calls)
+    folder = shuffled(spark, small, tmp_path, monkeypatch)
+    found, late = jobs.stream_pending(spark, folder, delay="1 hour").collect(), jobs.pending_late(spark, folder, delay="1 hour").collect()
+    unfinished = {r["recording_id"] for r in calls.where("completed_at is null").collect()}
+    assert unfinished <= {r["recording_id"] for r in found + late}
+
+
 def test_state_over_many_batches_of_mixed_order(spark, small, tmp_path, monkeypatch):
     """Files of a shuffled log, one to a batch."""
     monkeypatch.setattr(jobs, "BATCH_BYTES", 1)
