@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tanpura.operators import ranges
+
 # Fixed value: how long a dismissed notification stays, in milliseconds.
 REMOVE_DELAY = 1_000_000
 
@@ -48,7 +50,8 @@ def expiry(events: DataFrame) -> DataFrame:
     return sums.crossJoin(F.broadcast(as_of)).select("session_id", "toast_id", "expires_ms", (F.col("expires_ms") > F.col("as_of")).alias("alive"))  # with one row
 
 
-def sequence(events: DataFrame) -> DataFrame:
-    """Each session's notifications numbered from 1, as text."""
-    number = F.row_number().over(W.partitionBy("session_id").orderBy("ts", "event_id"))
-    return events.where("action = 'ADD'").select("event_id", "session_id", number.cast("string").alias("toast_number"))
+def sequence(events: DataFrame, most: int | None = None) -> DataFrame:
+    """Each session's notifications numbered from 1, as text; a session of more than most goes range by range."""
+    adds = events.where("action = 'ADD'").select("event_id", "session_id", F.unix_micros("ts").alias("us"))
+    numbered = ranges.running(adds, "session_id", "us", ["us", "event_id"], {"number": ranges.numbering()}, most)
+    return numbered.select("event_id", "session_id", F.col("number").cast("string").alias("toast_number"))

@@ -40,14 +40,14 @@ def ranged(rows: DataFrame, key: str, at: str, most: int | None = None) -> tuple
 def running(rows: DataFrame, key: str, at: str, order: list[Column | str], made: dict[str, tuple], most: int | None = None) -> DataFrame:
     """rows with running aggregates by key in the given order, whose first column is at.
 
-    made has for each new column (window, total, combine): window(w) is the aggregate up to a row over the window w, total
-    the aggregate of a whole range, and combine(before, here) puts what comes from the ranges before (null: none), to which
-    scan(total, w) has brought the totals, to what is here. A scan of None takes the last total that isn't null.
+    made has for each new column (window, total, scan, combine): window(w) is the aggregate up to a row, over the window w
+    without a frame; total is the aggregate of a whole range; scan(total, w) brings the totals of the ranges before; and
+    combine(before, here) puts what comes from them (null: nothing) to what is here.
     """
     split, several = ranged(rows, key, at, most)
-    local = W.partitionBy(key, RANGE).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = W.partitionBy(key, RANGE).orderBy(*order)
     if not several:
-        alone = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        alone = W.partitionBy(key).orderBy(*order)
         return rows.withColumns({name: combine(F.lit(None), window(alone)) for name, (window, _, _, combine) in made.items()})
     before = W.partitionBy(key).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
     totals = split.groupBy(key, RANGE).agg(*(total.alias(f"__t_{name}") for name, (_, total, _, _) in made.items()))
@@ -64,7 +64,12 @@ def numbering() -> tuple:
 def last_of(value: Column, at: Column) -> tuple:
     """For running(): the last value that isn't null; at orders a range's rows."""
     last = lambda v, w: F.last(v, ignorenulls=True).over(w)
-    return lambda w: last(value, w), F.max_by(value, F.when(value.isNotNull(), at)), last, lambda before, here: F.coalesce(here, before)
+    return lambda w: last(value, w.rowsBetween(W.unboundedPreceding, 0)), F.max_by(value, F.when(value.isNotNull(), at)), last, lambda before, here: F.coalesce(here, before)
+
+
+def last_before(value: str, at: Column) -> tuple:
+    """For running(): the row before's value; at orders a range's rows, whose first column is value (null comes first)."""
+    return lambda w: F.lag(value).over(w), F.max_by(F.col(value), at), lambda t, w: F.last(t, ignorenulls=True).over(w), lambda before, here: F.coalesce(here, before)
 
 
 def next_points(probes: DataFrame, points: DataFrame, key: str, value: str, strictly: bool, most: int | None = None) -> DataFrame:
