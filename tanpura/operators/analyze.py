@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tanpura.functions import labels as L
 from tanpura.operators.catalogue import attach
+from tanpura.session import ship
 from tanpura.sources import catalog
 from tanpura.sources.catalog import FILE_RULES, NATURAL_NOTES, RAGAS, TALAS
 
@@ -43,11 +47,58 @@ def classify(recordings: DataFrame) -> DataFrame:
     return recordings.withColumn("rule", rule_of(F.col("file_name")))
 
 
-def classify_by_join(recordings: DataFrame) -> DataFrame:
-    """As classify, by a join with the rules as a table; for rules that are many or change."""
-    rules = F.broadcast(catalog.dim_file_rule(recordings.sparkSession).select("priority", "pattern"))
-    met = recordings.join(rules, F.col("file_name").contains(F.col("pattern")), "left")
-    return met.groupBy(*recordings.columns).agg(F.min("priority").alias("rule"))
+def classify_by_rules(recordings: DataFrame, rules: DataFrame) -> DataFrame:
+    """As classify, for rules in a table (priority, pattern) that are many or change: by an automaton, or by a join where they are too many for one."""
+    known = rules.select("priority", "pattern").where("pattern is not null and priority is not null").limit(AUTOMATON_RULES + 1).collect()
+    return classify_by_join(recordings, rules) if len(known) > AUTOMATON_RULES else classify_by_automaton(recordings, known)
+
+
+#: Rules that go to every task as one automaton.
+AUTOMATON_RULES = 200_000
+
+
+def classify_by_automaton(recordings: DataFrame, rules: list) -> DataFrame:
+    """One pass over each name finds all the patterns in it, however many there are (Aho-Corasick); the least priority stays."""
+    spark = recordings.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast([(int(p), x) for p, x in rules])
+
+    @F.pandas_udf("int")
+    def first_rule(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        least: dict[str, int] = {}
+        for priority, pattern in sent.value:
+            least[pattern] = min(priority, least.get(pattern, priority))
+        always = least.pop("", None)  # every name has the empty pattern
+        automaton = ahocorasick.Automaton()
+        for pattern, priority in least.items():
+            automaton.add_word(pattern, priority)
+        if least:
+            automaton.make_automaton()
+
+        def of(name: str | None) -> int | None:
+            if name is None:
+                return None
+            found = [p for _, p in automaton.iter(name)] if least else []
+            return min(found if always is None else [*found, always], default=None)
+
+        for series in names:
+            yield pd.Series([of(n) for n in series], dtype="Int32")
+
+    return recordings.withColumn("rule", first_rule("file_name"))
+
+
+def classify_by_join(recordings: DataFrame, rules: DataFrame) -> DataFrame:
+    """As classify_by_rules, for any number of rules: each different name's substrings, of the lengths that patterns have, meet the patterns by equality."""
+    lengths = [r[0] for r in rules.where("pattern is not null").select(F.length("pattern")).distinct().collect()]  # as many as a name is long
+    names = recordings.select("file_name").where("file_name is not null").distinct()
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.length("file_name") - n + 1), lambda i: F.substring(F.col("file_name"), i, F.lit(n)))
+    pieces = [F.when(F.length("file_name") >= n, parts(n)).otherwise(F.array().cast("array<string>")) if n else F.array(F.lit("")) for n in lengths]
+    each = names.select("file_name", F.explode(F.array_distinct(F.flatten(F.array(*pieces)))).alias("pattern"))
+    least = rules.where("pattern is not null").groupBy("pattern").agg(F.min("priority").alias("priority"))
+    met = each.join(least, "pattern").groupBy("file_name").agg(F.min("priority").alias("rule"))
+    return recordings.join(met, "file_name", "left").select(*recordings.columns, "rule")
 
 
 def analyze(recordings: DataFrame) -> DataFrame:

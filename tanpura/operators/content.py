@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tanpura.functions.labels import canonical_note
+from tanpura.operators import ranges
 from tanpura.operators.catalogue import attach, tala_beats
 from tanpura.sources import catalog
 
@@ -14,38 +15,77 @@ from tanpura.sources import catalog
 LEAST_SCORE = 0.5
 
 
-def raga_notes(ragas: DataFrame) -> DataFrame:
-    """id, ordinal, note and size: the distinct canonical notes of each raga, and how many there are."""
+#: Each note has a bit: the seven natural notes, and each of them lowered and raised.
+NOTES = [f"{note}{change}" for note in catalog.NATURAL_NOTES for change in ("", " Komal", " Tivra")]
+
+
+def note_bit(note: Column) -> Column:
+    """The canonical note's bit, or null for any other name."""
+    bits = F.create_map(*(x for i, n in enumerate(NOTES) for x in (F.lit(n), F.lit(1 << i))))
+    return F.try_element_at(bits, note)
+
+
+def note_sets(observations: DataFrame) -> DataFrame:
+    """recording_id, bits (of its notes) and others (distinct names that have no bit): one aggregation with partial sums."""
+    rows = observations.select("recording_id", canonical_note(F.col("note")).alias("note")).where("note is not null").withColumn("bit", note_bit(F.col("note")))
+    return rows.groupBy("recording_id").agg(F.coalesce(F.bit_or("bit"), F.lit(0)).alias("bits"), F.collect_set(F.when(F.col("bit").isNull(), F.col("note"))).alias("others"))
+
+
+def raga_sets(ragas: DataFrame) -> DataFrame:
+    """One row: known, an array of id, ordinal, bits and others of the ragas that have notes."""
     notes = F.array_distinct(F.transform("notes", canonical_note))
-    return ragas.select("id", "ordinal", F.explode(notes).alias("note"), F.size(notes).alias("size"))
+    bits = F.aggregate(notes, F.lit(0), lambda sum_, n: sum_.bitwiseOR(F.coalesce(note_bit(n), F.lit(0))))
+    others = F.filter(notes, lambda n: note_bit(n).isNull())
+    return ragas.agg(F.collect_list(F.struct("id", "ordinal", bits.alias("bits"), others.alias("others"))).alias("known"))
 
 
-def raga_scores(observations: DataFrame, ragas: DataFrame) -> DataFrame:
-    """recording_id, raga_id, ordinal and score: the Jaccard similarity of note sets, for ragas that share a note.
+def scored(observations: DataFrame, ragas: DataFrame) -> DataFrame:
+    """recording_id and scores: id, ordinal and the Jaccard similarity of note sets, for ragas that share a note, the best first.
 
-    Recordings and ragas meet by note. There are at most a few dozen notes, so the ragas' notes are broadcast.
+    Sets are compared as bits, so a recording's notes are one row and no row is made for a note and a raga.
     """
-    distinct = observations.select("recording_id", canonical_note(F.col("note")).alias("note")).distinct()
-    own = F.count("*").over(W.partitionBy("recording_id"))
-    met = distinct.withColumn("own", own).join(F.broadcast(raga_notes(ragas)), "note")
-    shared = met.groupBy("recording_id", "id", "ordinal").agg(F.count("*").alias("shared"), F.first("own").alias("own"), F.first("size").alias("size"))
-    return shared.select("recording_id", F.col("id").alias("raga_id"), "ordinal", (F.col("shared") / (F.col("own") + F.col("size") - F.col("shared"))).alias("score"))
+
+    def score(r: Column) -> Column:
+        shared = F.bit_count(F.col("bits").bitwiseAND(r["bits"])) + F.size(F.array_intersect("others", r["others"]))
+        both = F.bit_count(F.col("bits").bitwiseOR(r["bits"])) + F.size(F.array_union("others", r["others"]))
+        return F.struct((-shared / both).alias("order"), r["ordinal"].alias("ordinal"), r["id"].alias("id"), (shared / both).alias("score"))
+
+    rows = note_sets(observations).crossJoin(F.broadcast(raga_sets(ragas)))  # with one row
+    made = F.array_sort(F.filter(F.transform("known", score), lambda s: s["score"] > 0))
+    return rows.select("recording_id", made.alias("scores"))
+
+
+def raga_scores(observations: DataFrame, ragas: DataFrame) -> DataFrame:
+    """recording_id, raga_id, ordinal and score, for ragas that share a note."""
+    return scored(observations, ragas).select("recording_id", F.explode("scores").alias("s")).select("recording_id", F.col("s.id").alias("raga_id"), "s.ordinal", "s.score")
 
 
 def raga_candidates(observations: DataFrame, ragas: DataFrame, k: int = 3) -> DataFrame:
     """The k best ragas of each recording; of equal scores the one declared first."""
-    best = W.partitionBy("recording_id").orderBy(F.col("score").desc(), "ordinal")
-    return raga_scores(observations, ragas).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("recording_id", "rank", "raga_id", "score")
+    best = scored(observations, ragas).select("recording_id", F.posexplode(F.slice("scores", 1, k)).alias("place", "s"))
+    return best.select("recording_id", (F.col("place") + 1).alias("rank"), F.col("s.id").alias("raga_id"), "s.score")
 
 
 def raga_match(observations: DataFrame, ragas: DataFrame) -> DataFrame:
     return raga_candidates(observations, ragas, 1).select("recording_id", "raga_id", F.col("score").alias("confidence"))
 
 
-def tempo_estimate(onsets: DataFrame) -> DataFrame:
-    """Beats a minute by the median time between onsets, rounded with halves up; null for less than two onsets or a median of 0."""
-    gap = F.col("onset_ms") - F.lag("onset_ms").over(W.partitionBy("recording_id").orderBy("onset_ms", "k"))
-    return onsets.withColumn("gap", gap).groupBy("recording_id").agg(F.median("gap").alias("m")).select("recording_id", F.floor(F.try_divide(F.lit(60000.0), F.nullif("m", F.lit(0.0))) + 0.5).cast("int").alias("tempo"))
+def tempo_estimate(onsets: DataFrame, most: int | None = None) -> DataFrame:
+    """Beats a minute by the median time between onsets, rounded with halves up; null for less than two onsets or a median of 0.
+
+    Gaps are counted, with partial sums, and the median is where a running sum over a recording's different gaps passes
+    the middle; nobody holds all gaps. A recording of more than most onsets takes its gaps range by range.
+    """
+    previous = ranges.last_before("onset_ms", F.struct("onset_ms", "k"))
+    rows = ranges.running(onsets, "recording_id", "onset_ms", ["onset_ms", "k"], {"__before": previous}, most)
+    counts = rows.groupBy("recording_id", (F.col("onset_ms") - F.col("__before")).alias("gap")).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("n", F.when(F.col("gap").isNull(), 0).otherwise(F.col("n")))
+    own = W.partitionBy("recording_id")
+    placed = counts.withColumns({"upto": F.sum("n").over(own.orderBy("gap")), "all": F.sum("n").over(own)})
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("gap")))
+    middle = placed.groupBy("recording_id").agg(at(F.floor((F.col("all") - 1) / 2)).alias("low"), at(F.floor(F.col("all") / 2)).alias("high"))
+    median = (F.col("low") + F.col("high")) / F.lit(2.0)
+    return middle.select("recording_id", F.floor(F.try_divide(F.lit(60000.0), F.nullif(median, F.lit(0.0))) + 0.5).cast("int").alias("tempo"))
 
 
 def timeline(compositions: DataFrame, cycles: int | None = None) -> DataFrame:

@@ -212,7 +212,7 @@ def resolved_requests(spark, d):
 
 
 def classify_recordings(spark, d):
-    return A.classify_by_join(recordings(spark, d)).select("recording_id", "rule")
+    return A.classify_by_rules(recordings(spark, d), catalog.dim_file_rule(spark)).select("recording_id", "rule")
 
 
 def compose(spark, d):

@@ -66,7 +66,7 @@ def test_rules_by_chain_and_by_join(spark):
     rows = spark.createDataFrame([(i, n) for i, n in enumerate(["bhairavi_1.mp3", "yaman_2", "yaman_bhairavi_3", "Bhairavi_4", "x"])], "recording_id long, file_name string")
     want = [0, 1, 0, None, None]
     assert [r["rule"] for r in A.classify(rows).orderBy("recording_id").collect()] == want
-    assert [r["rule"] for r in A.classify_by_join(rows).orderBy("recording_id").collect()] == want
+    assert [r["rule"] for r in A.classify_by_rules(rows, catalog.dim_file_rule(spark)).orderBy("recording_id").collect()] == want
 
 
 def test_defaults_stay_in_range(spark, small):
