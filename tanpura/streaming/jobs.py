@@ -25,6 +25,7 @@ from tanpura.operators.compose import compose, rejected
 from tanpura.operators.notifications import REMOVE_DELAY
 from tanpura.session import settings, shared_path, ship
 from tanpura.sources import tables
+from tanpura.streaming.guard import each_once
 from tanpura.streaming.ordered import Expiry, InFlight, InOrder, Pending, in_order
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,6 +33,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 BATCH_BYTES, END = 1 << 30, "timestamp'9000-01-01 00:00:00'"
 #: How far behind the latest event one may come: the tables are logs of a month, whose files may come in any order.
 DELAY = "31 days"
+#: How long the duplicate guard keeps a key in its state; older ones are looked up in what it has written.
+LIVE_MS = 3_600_000
 
 
 def stream(spark: SparkSession, folder: str, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -172,14 +175,14 @@ def pending_late(spark: SparkSession, folder: str, hours: int = 14, delay: str =
 
 def _pending(spark: SparkSession, folder: str, hours: int, delay: str) -> DataFrame:
     calls = stream(spark, folder, tables.analysis_calls)
-    asked = F.struct(F.col("requested_at").alias("at"), F.lit(0).cast("long").alias("order"), F.col("session_id").cast("string").alias("what"))
+    asked = F.struct(F.col("requested_at").alias("at"), F.lit(0).cast("long").alias("order"), F.concat(F.lit("="), F.coalesce(F.col("session_id").cast("string"), F.lit(""))).alias("what"))
     done = F.struct(F.col("completed_at").alias("at"), F.lit(1).cast("long").alias("order"), F.lit(Pending.DONE).alias("what"))
     events = calls.select("recording_id", F.explode(F.array(asked, done)).alias("e")).select("recording_id", "e.at", "e.order", "e.what").where("at is not null")
     return folded(spark, "stream-pending", events, "recording_id", "at", F.col("what"), "order", Pending(hours * 3_600_000_000), delay)
 
 
 def stream_distinct_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Each request once, however often it is sent within the watermark: here every request is sent twice."""
+    """Each request once, however often and late it is sent again: here every request is sent twice."""
     requests = stream(spark, folder, tables.composition_requests)
-    twice = requests.select("request_id", "session_id", "requested_at", F.explode(F.array(F.lit(1), F.lit(2))).alias("sent"))
-    return run(twice.withWatermark("requested_at", "3650 days").dropDuplicatesWithinWatermark(["request_id"]).select("request_id", "session_id"), "stream-distinct-requests")
+    twice = requests.select("request_id", "session_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("sent")).select("request_id", "session_id")
+    return each_once(twice, "request_id", shared_path(spark, "stream-distinct-requests"), LIVE_MS)

@@ -66,6 +66,7 @@ class InOrder(StatefulProcessor):
             self.timer.update((ms,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        key = (None if key[1] else key[0],)
         passed, first = tuple(self.passed.get()) if self.passed.exists() else None, None
         for part in rows:
             events = list(zip(part["us"].tolist(), part["id"].tolist(), part["what"].tolist(), strict=True))
@@ -79,6 +80,7 @@ class InOrder(StatefulProcessor):
         self.wake(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        key = (None if key[1] else key[0],)
         until = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = sorted(tuple(e) for e in self.waiting.get())
         ready = [e for e in waiting if e[0] < until]
@@ -168,7 +170,7 @@ class Expiry(InOrder):
 
 
 class Pending(InOrder):
-    """Calls without a result within so many microseconds. The key is the recording, what is its session's number or DONE; a late row has no decision."""
+    """Calls without a result within so many microseconds. The key is the recording, what is = and the session's number (none: null), or DONE; a late row has no decision."""
 
     DONE = ""
     COLUMNS = ("recording_id", "session_id")
@@ -177,6 +179,10 @@ class Pending(InOrder):
     def __init__(self, within: int):
         self.within = within
 
+    @staticmethod
+    def session(what: str) -> int | None:
+        return int(what[1:]) if what[1:] else None
+
     def keep(self, handle):
         self.open = handle.getListState("open", "us long, session string")
 
@@ -193,18 +199,20 @@ class Pending(InOrder):
             self.open.put(left)
         else:
             self.open.clear()
-        return [(key[0], int(session)) for _, session in over]
+        return [(key[0], self.session(what)) for _, what in over]
 
     def due(self):
         return min((us + self.within for us, _ in self.open.get()), default=None)
 
     def late_row(self, key, row):
-        return key[0], None if row[2] == self.DONE else int(row[2])
+        return key[0], self.session(row[2])
 
 
 def in_order(rows: DataFrame, key: str, at: str, what: Column, order: str, processor: InOrder, delay: str, before: Column) -> DataFrame:
-    """The stream rows folded by key. at is a timestamp, order a long; rows whose time isn't below before only move the watermark."""
+    """The stream rows folded by key. at is a timestamp, key and order are longs (a null key is a key); rows whose time isn't below before only move the watermark."""
     marked = rows.withWatermark(at, delay)
     # Only numbers derived from it go on, so that late rows reach the fold.
     events = marked.select(F.col(key).alias("key"), F.unix_micros(at).alias("us"), F.col(order).alias("id"), what.alias("what")).where(F.col("us") < F.unix_micros(before))
-    return events.groupBy("key").transformWithStateInPandas(processor, processor.SCHEMA, "Append", "EventTime")
+    # Never null: a null among the grouping keys loses other keys' rows on the way to Python.
+    keyed = events.withColumn("none", F.col("key").isNull()).withColumn("key", F.coalesce("key", F.lit(0).cast("long")))
+    return keyed.groupBy("key", "none").transformWithStateInPandas(processor, processor.SCHEMA, "Append", "EventTime")

@@ -1,12 +1,15 @@
 """The streams against their batch forms."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tanpura import session
 from tanpura.operators import notifications as N
 from tanpura.operators import sessions as S
 from tanpura.sources import tables
-from tanpura.streaming import jobs
+from tanpura.streaming import guard, jobs
 
 
 def test_expired_notifications(spark, small):
@@ -25,7 +28,7 @@ def test_pending_calls_are_those_without_a_result(spark, small):
 def shuffled(spark, small, tmp_path, monkeypatch, n=3):
     """The events in files out of time order, one to a batch."""
     monkeypatch.setattr(jobs, "BATCH_BYTES", 1)
-    session.table(spark, small, "events").repartition(n).write.parquet(f"file://{tmp_path}/events.parquet")
+    session.table(spark, small, "events").withColumn("user_id", F.nullif("user_id", F.lit(3))).repartition(n).write.parquet(f"file://{tmp_path}/events.parquet")
     return f"file://{tmp_path}"
 
 
@@ -35,7 +38,8 @@ def rows(df):
 
 @pytest.mark.parametrize("job", [jobs.stream_in_flight, jobs.stream_pending, jobs.stream_expiry], ids=lambda f: f.__name__)
 def test_files_out_of_order_change_nothing(spark, small, tmp_path, monkeypatch, job):
-    want = rows(job(spark, small))
+    session.table(spark, small, "events").withColumn("user_id", F.nullif("user_id", F.lit(3))).coalesce(1).write.parquet(f"file://{tmp_path}/whole/events.parquet")
+    want = rows(job(spark, f"file://{tmp_path}/whole"))
     assert rows(job(spark, shuffled(spark, small, tmp_path, monkeypatch))) == want and want
 
 
@@ -63,6 +67,38 @@ def test_state_over_many_batches_of_mixed_order(spark, small, tmp_path, monkeypa
     assert sorted(map(tuple, jobs.stream_session_state(spark, f"file://{tmp_path}").collect())) == sorted(map(tuple, want))
 
 
+def test_keys_come_once_with_state_that_ends(spark, tmp_path):
+    """Five runs of one stream, each with new keys, keys of the run before and of the first one; the time to live ends between runs."""
+    out, at, sizes = f"file://{tmp_path}/out", f"file://{tmp_path}/in", []
+    for i in range(5):
+        keys = [*range(100 * i, 100 * i + 100), *range(max(0, 100 * i - 30), 100 * i), *range(20), None]
+        spark.createDataFrame([(k, i) for k in keys], "id long, run int").coalesce(1).write.mode("append").parquet(at)
+        watch = []
+        got = guard.each_once(spark.readStream.schema("id long, run int").parquet(at), "id", out, 1, watch).collect()
+        assert sorted((r["id"] is not None, r["id"] or 0) for r in got) == [(False, 0), *((True, k) for k in range(100 * i + 100))]
+        sizes.append(max(p["stateOperators"][0]["numRowsTotal"] for p in watch if p["stateOperators"]))
+    assert all(r["run"] == (r["id"] or 0) // 100 for r in got)
+    assert max(sizes[1:]) <= 2 * sizes[0]  # five times the keys, the same state
+
+
+def test_a_repeated_batch_gives_the_same(spark, tmp_path):
+    batch = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    out = f"file://{tmp_path}"
+    of = lambda n: sorted(r["id"] for r in spark.read.parquet(f"{out}/rows/batch={n}").collect())
+    for number, rows in ((0, batch(1, 2, 2)), (1, batch(2, 3)), (1, batch(2, 3)), (0, batch(1, 2, 2))):
+        guard.once(rows, number, "id", out)
+    assert of(0) == [1, 2] and of(1) == [3]
+
+
+def test_filters_hold_what_was_put_in():
+    rng = np.random.default_rng(1)
+    known, others = (rng.integers(-(1 << 62), 1 << 62, 5000) for _ in range(2))
+    table = lambda h: pa.table({"bucket": pa.array([3] * len(h), pa.int32()), "hash": pa.array(h)})
+    filters = guard.filter_of(table(known))
+    assert guard.maybe_known(table(known), filters).num_rows == 5000
+    assert guard.maybe_known(table(others), filters).num_rows < 100
+
+
 def test_settings_are_put_back(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
