@@ -1,10 +1,13 @@
 """Exact deduplication by Grace hashing.
 
 Each task first folds the copies it sees itself, so a group of copies reaches its bucket as one record for a task,
-whatever its size; lists of more than FOLD of its rows go elsewhere, and take the class of the record. Records are dealt into buckets by a hash of their normalised text. A bucket is read
-through an open-addressing table that compares complete contents. When the table is full, records that match nothing
-in it go to a spill table in the shared folder; those are dealt anew by another hash, level after level, until nothing
-is spilled. Each level resolves at least what a table holds, so this ends.
+whatever its size; lists of more than FOLD of its rows go elsewhere, and take the class of the record. Records are
+partitioned by a hash of their normalised text: into tasks by the texts' counted bytes, and where a task's bucket would
+fill more than 1 / FILL of a table, it is partitioned again into buckets of its own by a further hash, which Spark's
+sort brings together in its spill files. Each of these is read through an open-addressing table that compares complete
+contents. A bucket that doesn't fit nevertheless spills what matches nothing in its full table to the shared folder;
+the spilled records' bytes are counted and they are partitioned anew in the same way by other hashes, until nothing is
+spilled. So levels don't grow with the data, and a level writes what overflowed only.
 
 Texts are equal when identical after deleting white space (`[\\x20\\x09-\\x0D]`). Of equal texts the row with the most
 code points stays, then the smallest doc_id (null last), then the row read first.
@@ -29,6 +32,8 @@ from tanpura.llm.common import Rows, one_of_each, small_batches, stored, text_by
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes of content that a table holds, and rows that one record stands for at most.
 TABLE_BYTES, FOLD = 48 << 20, 2000
+#: Tables that records are dealt to for each one that they would fill, bytes of a task and tasks of a level at most, and bytes of a table's entry beside its content.
+FILL, TASK_BYTES, BUCKETS, ENTRY_BYTES = 2, TABLE_BYTES // 2, 20_000, 100
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("n_chars", pa.int64())])
 #: of: the record whose class these further rows take; they have no content.
@@ -68,7 +73,7 @@ class ContentTable:
         self.slots[self._slot(h, content)[0]] = entry = len(self.contents)
         self.hashes.append(h)
         self.contents.append(content)
-        self.held += len(content) + 100
+        self.held += len(content) + ENTRY_BYTES
         return entry
 
 
@@ -126,12 +131,14 @@ def count_tails(text: bytes) -> int:
 
 
 def resolve(table_bytes: int = TABLE_BYTES):
-    """For mapInArrow over a bucket: records with their class; content stays only in records that are spilled (class null)."""
+    """For mapInArrow over a task's buckets, one after the other: records with their class; content stays only in records that are spilled (class null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, first, out = ContentTable(), [], Rows(RESOLVED)
+        table, first, out, now = ContentTable(), [], Rows(RESOLVED), None
         for batch in batches:
-            for digest, content, record, of, members in zip(*(batch.column(c).to_pylist() for c in RECORD.names), strict=True):
+            for bucket, digest, content, record, of, members in zip(*(batch.column(c).to_pylist() for c in ("bucket", *RECORD.names)), strict=True):
+                if bucket != now:
+                    table, first, now = ContentTable(), [], bucket
                 if of is not None:
                     yield from out.add(("", digest, None, record, of, members), 16 * len(members) + 100)
                     continue
@@ -148,18 +155,34 @@ def resolve(table_bytes: int = TABLE_BYTES):
     return run
 
 
+def dealing(size: int, table_bytes: int, tasks: int) -> tuple[int, int]:
+    """Tasks, and buckets of each, for records of so many bytes."""
+    many = max(tasks, min(-(-size // TASK_BYTES), BUCKETS))
+    return many, max(1, -(-FILL * size // (table_bytes * many)))
+
+
 def classes(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """class, digest, record, members: what each record of folded rows belongs to."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    measure = lambda column: F.coalesce(F.sum(F.octet_length(column) + ENTRY_BYTES), F.lit(0).cast("long"))
     spilled, level, found = rows.mapInArrow(fold(table_bytes), RECORD_SQL), 0, None
+    size = rows.agg(measure("text")).first()[0]
     while True:
-        dealt = spilled.repartition(F.xxhash64(F.when(F.col("of").isNull(), F.hex("digest")).otherwise(F.col("record")), F.lit(level)))
+        many, buckets = dealing(size, table_bytes, tasks)
+        by = F.when(F.col("of").isNull(), F.hex("digest")).otherwise(F.col("record"))
+        dealt = spilled.repartition(many, F.xxhash64(by, F.lit(level)))
+        bucket = F.pmod(F.xxhash64(F.lit("bucket"), by, F.lit(level)), F.lit(buckets)) if buckets > 1 else F.lit(0).cast("long")
+        dealt = dealt.withColumn("bucket", bucket)
+        dealt = dealt.sortWithinPartitions("bucket") if buckets > 1 else dealt
         done = stored(dealt.mapInArrow(resolve(table_bytes), RESOLVED_SQL), f"grace-{level}")
         kept = done.where("class is not null").drop("content")
         found = kept if found is None else found.unionByName(kept)
         spilled, level = done.where("class is null").drop("class"), level + 1
-        if spilled.isEmpty():
+        size = spilled.agg(measure("content")).first()[0]
+        if not size:
             break
     more = found.where("of is not null").drop("class")
     own = found.where("of is null")

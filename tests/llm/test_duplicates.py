@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tanpura.llm import grace, induced, probminhash, queries, repeats
 
@@ -46,6 +47,31 @@ def test_grace_hashing(spark, table_bytes):
     assert all(r["keep_id"] == r["doc_id"] for r in got if r["kept"])
 
 
+@pytest.mark.parametrize("most", [20, 5])
+def test_levels_and_spilled_bytes_dont_grow_as_tables_shrink(spark, small, monkeypatch, most):
+    """With one task for each bucket, and with five tasks that have several each."""
+    monkeypatch.setattr(grace, "BUCKETS", most)
+    monkeypatch.setattr(grace, "TASK_BYTES", 20_000)
+    table, levels, spilled = spark.read.parquet(f"{small}/documents.parquet"), [], []
+    text = table.agg(F.sum(F.octet_length("text"))).first()[0]
+
+    def kept(df, name, write=grace.stored):
+        made = write(df, name)
+        if name.startswith("grace-") and name != "grace-groups":
+            levels[-1] += 1
+            spilled[-1] += made.where("class is null").agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
+        return made
+
+    monkeypatch.setattr(grace, "stored", kept)
+    want = None
+    for table_bytes in (200_000, 100_000, 50_000, 25_000):
+        levels.append(0), spilled.append(0)
+        got = sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in grace.exact_duplicates(table, table_bytes).collect())
+        assert want is None or got == want
+        want = got
+    assert all(b <= a + 1 for a, b in zip(levels, levels[1:], strict=False)) and max(levels) <= 4 and max(spilled) < text
+
+
 def test_large_groups_are_folded(spark, monkeypatch):
     rows = [(i, "same text" if i % 3 else f"other {i}") for i in range(3000)]
     monkeypatch.setattr(grace, "FOLD", 7)
