@@ -2,8 +2,9 @@
 
 The page is cut into lines at block-level tags. Lines of menus, headers, footers, sidebars, notices, adverts, forms
 and comments (by element, role, or a word of class or id) are left out; a class or id doesn't count for an element that
-encloses the page's only article or most of its text, nor for a paragraph, list item or other element of text that is
-long enough to be the article's. The lengths of the other lines, 0 for those that are mostly links,
+encloses the page's only article or most of its text, nor, inside an article, for a paragraph, list item or other element
+of text and for words that are only part of a class; elsewhere not for an element of text that is long enough to be the
+article's. A heading in the header of a page without article and other heading is the page's. The lengths of the other lines, 0 for those that are mostly links,
 are summed over windows of WINDOW lines: a surge is a line of text whose window's sum rises from 0, a dive is where the
 sum falls back to 0. All lines between surge and dive are kept, for every stretch whose window reaches SURGE code points
 (for the one with the most text, if none does).
@@ -42,13 +43,15 @@ TEXTUAL = frozenset("p li dd dt h1 h2 h3 h4 h5 h6 blockquote pre figcaption capt
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?<!with[_-])(?<!has[_-])(?<!no[_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
+WORDS = (
+    r"(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
     r"sidebar|side-bar|rail|widget|footer|header|masthead|topbar|toolbar|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"comment|comments|disqus|replies|respond|related|recommended|share|sharing|social|pagination|pager|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
-    re.IGNORECASE,
+    r"comment|comments|disqus|replies|respond|related|recommended|share|sharing|social|pagination|pager|skip|copyright|legal|disclaimer)"
 )
+MARKS = re.compile(rf"(?:^|[\s_-])(?<!with[_-])(?<!has[_-])(?<!no[_-]){WORDS}(?:$|[\s_-])", re.IGNORECASE)
+WHOLE = re.compile(rf"(?:^|\s){WORDS}(?:$|\s)", re.IGNORECASE)
 COMMENT = re.compile(r"(?:^|[\s_-])(?:comment|comments|reply|replies)(?:$|[\s_-])", re.IGNORECASE)
+READERS = re.compile(r"(?:^|\s)(?:discussion|discussions|feedback|user-feedback|reader-feedback|responses|reader-responses)(?:$|\s)", re.IGNORECASE)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.DOTALL)
@@ -59,10 +62,15 @@ SPACE = re.compile(r"\s+")
 
 #: Whether an element is boilerplate: no, for all it holds, by a word of class or id (and whether that is of comments).
 NO, ALL, WORD, COMMENTS = range(4)
+HEADER, TITLE = 1, 2
 
 
-def boilerplate(name: str, attributes: str) -> int:
-    """Whether an element is one of menus, adverts and the like. Attributes count by their own names."""
+def boilerplate(name: str, attributes: str, inside: bool) -> int:
+    """Whether an element is one of menus, adverts and the like. Attributes count by their own names.
+
+    Inside an article a word counts if it is a whole class or the id (share, not market-share), and not for elements of
+    text, whatever their length; comments count everywhere.
+    """
     if name in BOILERPLATE:
         return ALL
     if not attributes or name in ("body", "html"):
@@ -75,7 +83,12 @@ def boilerplate(name: str, attributes: str) -> int:
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return ALL
         if key in ("class", "id") and MARKS.search(value):
-            by = max(by, COMMENTS if COMMENT.search(value) else WORD)
+            if COMMENT.search(value):
+                by = COMMENTS
+            elif not inside or name not in TEXTUAL and WHOLE.search(value):
+                by = max(by, WORD)
+        elif key == "class" and name not in TEXTUAL and READERS.search(value):
+            by = COMMENTS
     return by
 
 
@@ -86,6 +99,7 @@ class Line(NamedTuple):
     mark: int  # place of the innermost mark, or -1
     article: int  # number of the outermost article, or 0
     holder: int  # number of the innermost of HOLDERS, or 0
+    title: int  # whether it is in a h1: NO, in a header that is boilerplate and in no other (HEADER), elsewhere (TITLE)
 
     @property
     def length(self) -> int:
@@ -130,7 +144,8 @@ def lines_of(page: str) -> tuple[list[Line], list[Mark]]:
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                lines.append(Line(text, linked, bad > 0, mark, articles[0] if articles else 0, holder))
+                title = NO if not open_now.get("h1") else TITLE if not bad else HEADER if bad == 1 and open_now.get("header") else NO
+                lines.append(Line(text, linked, bad > 0, mark, articles[0] if articles else 0, holder, title))
             parts.clear()
         linked = 0
 
@@ -183,7 +198,7 @@ def lines_of(page: str) -> tuple[list[Line], list[Mark]]:
         if name in CLOSES_P and barrier >= 0 and stack[barrier].name == "p":
             close(barrier)
         if name not in VOID and not attributes.endswith("/"):
-            kind = boilerplate(name, attributes)
+            kind = boilerplate(name, attributes, bool(articles))
             if name == "header" and articles:
                 kind = NO  # an article's own heading
             opened += 1
@@ -206,7 +221,9 @@ def lines_of(page: str) -> tuple[list[Line], list[Mark]]:
 
 def without_boilerplate(lines: list[Line], marks: list[Mark]) -> list[Line]:
     """The lines outside boilerplate. Class and id don't count for elements that enclose the only article or most of the text, nor for long text."""
-    lines = [x for x in lines if not x.bad]
+    # The heading of a page that has no article and no other may stand in the page's header.
+    alone = not any(x.article or x.title == TITLE for x in lines)
+    lines = [x for x in lines if not x.bad or alone and x.title == HEADER and x.length]
     if not marks:
         return lines
     text, held, article = [0] * len(marks), [0] * len(marks), [0] * len(marks)

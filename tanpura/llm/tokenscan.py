@@ -9,8 +9,8 @@ blocks of a file, in two levels so that no task takes all blocks of a long file,
 each block and where the document that its first tokens continue began.
 
 A file doesn't hold doc_ids. They are written beside it, in the same order, by a pass over doc_ids alone, and meet the
-counts by file and ordinal. That needs rows that come in the same order again; a table with a shuffle above it is
-written first.
+counts by file and ordinal; where either has no partner the query fails. That needs rows that come in the same order
+again: a table that isn't just read and filtered (shuffled, cached, sampled, coalesced) is written first.
 
 Defined cases: an empty document has 0 tokens; tokens after a file's last separator are a last document that isn't
 complete; an empty file has none; a file of an odd number of bytes and a vocabulary with ids that 16 bits can't hold, or
@@ -20,6 +20,7 @@ U+FFFD; a null doc_id stays null; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,9 +46,15 @@ def ids_of_16_bits(coder: bpe.ByteBPE, separator: int) -> None:
         raise ValueError(f"ids up to {coder.bytes.n - 1} with the separator {separator} don't make a file of 16-bit ids")
 
 
+#: Steps of a plan that hand rows on in the order of the files they are read from, each time.
+STEADY = re.compile(r"(?:AdaptiveSparkPlan|WholeStageCodegen|InputAdapter|ColumnarToRow|Project|Filter|FileScan|Scan parquet|LocalTableScan)\b")
+
+
 def settled(docs: DataFrame) -> DataFrame:
-    """docs whose rows come in the same order whenever they are read: as they are, or written where a shuffle deals them."""
-    return stored(docs, "token-documents") if "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
+    """docs whose rows come in the same order whenever they are read: as they are, if they are but read and filtered; else written first."""
+    plan = docs._jdf.queryExecution().executedPlan().treeString()
+    steps = [re.sub(r"^[\s:+\-*]*(?:\(\d+\) )?", "", line) for line in plan.splitlines()]
+    return docs if all(STEADY.match(s) or not s or s.startswith("==") for s in steps) else stored(docs, "token-documents")
 
 
 def flat_files(docs: DataFrame, path: str, vocabulary: tuple[str, str] | None = None, separator: int = SEPARATOR, file_documents: int = FILE_DOCUMENTS) -> None:
@@ -126,4 +133,7 @@ def document_counts(docs: DataFrame, vocabulary: tuple[str, str] | None = None,
     labels = lines.select("file", F.posexplode(F.slice("lines", F.lit(1), F.size("lines") - 1)).alias("ordinal", "line"))
     labels = labels.select("file", F.col("ordinal").cast("long").alias("ordinal"), F.nullif("line", F.lit("")).cast("long").alias("doc_id"))
     counts = token_counts(spark, f"{path}/tokens", separator, block_tokens).withColumn("file", number(F.col("file")))
-    return labels.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens", "complete")
+    apart = F.raise_error(F.concat(F.lit("tokens and doc_ids differ in file "), F.col("file")))
+    both = labels.withColumn("labelled", F.lit(True)).join(counts, ["file", "ordinal"], "full")
+    met = F.col("labelled").isNotNull() & F.col("n_tokens").isNotNull()
+    return both.select("doc_id", "file", "ordinal", "start", F.when(met, F.col("n_tokens")).otherwise(apart.cast("long")).alias("n_tokens"), "complete")
