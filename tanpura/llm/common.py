@@ -33,11 +33,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     before = len(_stored)
     yield
     for path in _stored[before:]:
-        file = spark._jvm.org.apache.hadoop.fs.Path(path)
-        file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+        drop(spark, path)
     del _stored[before:]
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
+
+
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write df to a table in the shared folder and read it back. This cuts the lineage and survives lost executors.
 

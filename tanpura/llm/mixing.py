@@ -11,7 +11,10 @@ numbers say (so no two shards have the same slot), and a shard's documents are s
 At a node, a source's part is drawn given what the sources before it gave. Beyond FAN sources, that is done for groups
 of sources first and then within each group, so that one row holds FAN numbers whatever the number of sources.
 
-Documents meet by (source, block), so a hot source is spread over its blocks. Sources are numbered by ranges and capped
+Only one block of a source is taken in part. It is cut again into BLOCKS parts by the next bits of the hash, of which again
+only one is taken in part; its documents alone are brought together and summed up in order, a millionth of the source's.
+All other documents are taken whole or not by what is worked out for their block and part, without a shuffle; texts meet
+no window but that one, however large or hot a source is. Sources are numbered by ranges and capped
 by repeated sums; no task gets all of them.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source, the last one; a null doc_id is
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tanpura.llm.common import fresh, quoted, stored
+from tanpura.llm.common import fresh, quoted, small_side, stored
 
 BLOCKS, SHARDS, FAN = 1024, 16, 64
 WEIGHTS, MOST = (1, 2, 3), 3
@@ -64,6 +67,11 @@ def block_of(key: Column) -> Column:
     return F.floor(fraction(key, 8) * BLOCKS).cast("int")
 
 
+def part_of(key: Column) -> Column:
+    """The part of its block, by the bits after the block's."""
+    return (F.floor(fraction(key, 8) * BLOCKS**2) % BLOCKS).cast("int")
+
+
 def before(column: str, *keys: str, order: tuple = ()) -> Column:
     """The sum of a column's values in the rows before, within keys."""
     return F.coalesce(F.sum(column).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -163,7 +171,7 @@ def split(quotas: DataFrame, sources: int, shards: int = SHARDS, seed: int = 0)
 
 
 def plan(sized: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """For each (key, block): source_size, target, where the block starts in its source (start), whole times, words of the part (rest), and slots."""
+    """For each (key, block): block_size, source_size, target, where the block starts in its source (start), whole times, words of the part (rest), and slots."""
     blocks = stored(sized.groupBy("key", "block").agg(F.sum("size").alias("block_size")), "mix-blocks")
     per = stored(targets(blocks.groupBy("key").agg(F.sum("block_size").alias("source_size"))), "mix-targets")
     goal = F.floor(F.col("target") + 0.5)
@@ -180,7 +188,7 @@ def plan(sized: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     dealt = slots.withColumn("place", place).join(ends, "source_no")
     shard = F.size(F.filter("ends", lambda e: e["end"] < F.col("place")))
     dealt = dealt.groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("pass", shard.alias("shard")))).alias("slots"))
-    return placed.select("key", "block", "start", "source_size", "target", "times", "rest").join(dealt, ["key", "block"], "left")
+    return placed.select("key", "block", "block_size", "start", "source_size", "target", "times", "rest").join(dealt, ["key", "block"], "left")
 
 
 #: What is worked out for each document, beside docs' own columns.
@@ -192,19 +200,30 @@ def drawn(docs: DataFrame, shards: int = SHARDS, seed: int = 0, size: Column | N
 
     whole: see MISS.
     """
-    helpers = ("key", "order", "block", "before", "start", "times", "rest", "slots")
+    helpers = ("key", "order", "block", "piece", "before", "block_size", "start", "times", "rest", "slots", "piece_start", "piece_size")
     named: dict[str, str] = {}
     for n in (*PARTS, *helpers):
         named[n] = fresh(f"mix_{n}", [*docs.columns, *named.values()])
     c = lambda n: F.col(named[n])
     names = [F.col(quoted(n)) for n in docs.columns]
-    rows = docs.select(*names, (size_of() if size is None else size).alias(named["size"]), source_key().alias(named["key"]), order_key(seed=seed).alias(named["order"]))
-    rows = rows.withColumn(named["block"], block_of(c("order")))
-    blocks = stored(plan(rows.select(c("key").alias("key"), c("block").alias("block"), c("size").alias("size")), shards, seed), "mix-plan")
-    blocks = blocks.select(*(F.col(n).alias(named[n]) for n in blocks.columns))
-    upto = before(named["size"], named["key"], named["block"], order=(c("order"), F.col("doc_id"), c("size")))
-    joined = rows.withColumn(named["before"], upto).join(blocks, [named["key"], named["block"]])
-    part = F.greatest(F.lit(0), F.least(c("size"), c("rest") - c("start") - c("before"))).cast("long")
+    sized = size_of() if size is None else size
+    rows = docs.select(*names, source_key().alias(named["key"]), order_key(seed=seed).alias(named["order"]))
+    rows = rows.withColumns({named["block"]: block_of(c("order")), named["piece"]: part_of(c("order"))})
+    narrow = stored(rows.select(c("key").alias("key"), c("block").alias("block"), c("piece").alias("piece"), sized.alias("size")), "mix-narrow")
+    blocks = stored(plan(narrow, shards, seed), "mix-plan")
+    edges = small_side(stored(blocks.where((F.col("start") < F.col("rest")) & (F.col("rest") < F.col("start") + F.col("block_size"))).select("key", "block", "start"), "mix-edges"))
+    pieces = narrow.join(edges, ["key", "block"]).groupBy("key", "block", "piece", "start").agg(F.sum("size").alias("piece_size"))
+    pieces = stored(pieces.select("key", "block", "piece", "piece_size", (F.col("start") + before("piece_size", "key", "block", order=("piece",))).alias("piece_start")), "mix-pieces")
+    own = lambda table: table.select(*(F.col(n).alias(named[n]) for n in table.columns))
+    joined = rows.join(own(small_side(blocks)), [named["key"], named["block"]]).join(own(small_side(pieces)), [named["key"], named["block"], named["piece"]], "left")
+    begin, length = F.coalesce(c("piece_start"), c("start")), F.coalesce(c("piece_size"), c("block_size"))
+    cut = (begin < c("rest")) & (c("rest") < begin + length)
+    upto = before(named["size"], named["key"], named["block"], named["piece"], order=(c("order"), F.col("doc_id"), c("size")))
+    inside = joined.where(cut).withColumn(named["size"], sized).withColumn(named["before"], upto)
+    outside = joined.where(~cut).withColumn(named["size"], sized).withColumn(named["before"], F.lit(0).cast("long"))
+    joined = inside.unionByName(outside)
+    within = F.greatest(F.lit(0), F.least(c("size"), c("rest") - begin - c("before")))
+    part = F.when(cut, within).when(begin < c("rest"), c("size")).otherwise(0).cast("long")
     if whole:
         rounded = F.when(part * 2 >= c("size"), c("size")).otherwise(F.lit(0).cast("long"))
         part = F.when(F.abs(rounded - part) <= c("target") * MISS, rounded).otherwise(part)
