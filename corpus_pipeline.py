@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tanpura.llm import bpe, grace, mixing, probminhash, quality
-from tanpura.llm.common import scratch
+from tanpura.llm.common import drop, scratch
 from tanpura.session import shared_path
 
 
@@ -48,12 +48,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table. What a stage stores for itself goes when its result is written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table. What a stage stores for itself goes when its result is written, and so does its predecessor's result."""
+    last, docs = None, spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, name.replace(" ", "-"))
         with scratch(spark):
             made = stage(spark, docs, sf_dir)
             made.write.parquet(path)
-        docs = spark.read.schema(made.schema).parquet(path)
+        if last:
+            drop(spark, last)
+        last, docs = path, spark.read.schema(made.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
