@@ -64,7 +64,7 @@ def test_tokens_and_ids_that_differ_fail(spark, monkeypatch):
 
     def short(given, path, *more):
         write(given, path, *more)
-        given.select(F.col("doc_id").cast("string")).limit(2).coalesce(1).write.mode("append").text(f"{path}/labels")
+        given.union(given).select(F.col("doc_id").cast("string")).coalesce(1).write.mode("append").text(f"{path}/labels")
 
     monkeypatch.setattr(tokenscan, "flat_files", short)
     with pytest.raises(Exception, match="tokens and doc_ids differ"):
