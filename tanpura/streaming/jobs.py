@@ -125,7 +125,8 @@ class SessionState(StatefulProcessor):
         file, found, cleared, composition = latest
         analysis = found if found and (not cleared or found > cleared) else None
         cells = {"file_event": file, "analysis_event": analysis, "composition_event": composition}
-        yield pd.DataFrame({"session_id": [key[0]], "seen": [seen]} | {k: pd.array([v and v[1]], "Int64") for k, v in cells.items()})
+        session = pd.array([None if key[1] else key[0]], "Int64")
+        yield pd.DataFrame({"session_id": session, "seen": [seen]} | {k: pd.array([v and v[1]], "Int64") for k, v in cells.items()})
 
     def close(self) -> None:
         pass
@@ -134,7 +135,9 @@ class SessionState(StatefulProcessor):
 def stream_session_state(spark: SparkSession, folder: str) -> DataFrame:
     """Each session's state after the last batch that had events of it."""
     events = stream(spark, folder, tables.session_events).select("event_id", "session_id", F.unix_micros("ts").alias("us"), "action")
-    states = events.groupBy("session_id").transformWithStateInPandas(SessionState(), "session_id long, seen long, file_event long, analysis_event long, composition_event long", "Append", "None")
+    # Never null: a null among the grouping keys loses other keys' rows on the way to Python.
+    keyed = events.withColumn("none", F.col("session_id").isNull()).withColumn("session_id", F.coalesce("session_id", F.lit(0).cast("long")))
+    states = keyed.groupBy("session_id", "none").transformWithStateInPandas(SessionState(), "session_id long, seen long, file_event long, analysis_event long, composition_event long", "Append", "None")
     rows = run(states, "stream-session-state")
     return rows.groupBy("session_id").agg(F.max_by(F.struct("file_event", "analysis_event", "composition_event"), "seen").alias("s")).select("session_id", "s.*")
 
