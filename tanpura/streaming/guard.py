@@ -9,6 +9,7 @@ only, so a micro-batch that is repeated after a failure gives what it gave befor
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,30 +19,43 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import NumericType
 
 from tanpura.session import settings, ship
 
 #: Buckets that keys are dealt to, bits of a filter for each key, and how many of them a key sets: one key in about 120 is looked up in vain.
 BUCKETS, BITS, PROBES = 64, 10, 7
+#: Groups of keys in the state.
+GROUPS = 1024
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class FirstSeen(StatefulProcessor):
-    """Passes on a key's first row, and again the first one after the time to live has passed since."""
+    """Passes on a key's first row, and again the first one after the time to live has passed since.
+
+    The state goes by groups of keys, and each micro-batch adds one list of keys to a group, so that calls of the state
+    aren't made for each key. The column key must never be null.
+    """
 
     def __init__(self, columns: list[str], live_ms: int):
         self.columns, self.live = columns, live_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "known boolean", ttlDurationMs=self.live)
+        self.seen = handle.getListState("seen", "keys string", ttlDurationMs=self.live)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.seen.exists()
+        known, new = {k for (keys,) in self.seen.get() for k in json.loads(keys)}, []
         for part in rows:
-            if not known and len(part):
-                self.seen.update((True,))
-                yield part[self.columns].head(1)
-                known = True
+            first = []
+            for k in part["key"]:
+                first.append(k not in known)
+                if first[-1]:
+                    known.add(k)
+                    new.append(k)
+            if any(first):
+                yield part.loc[first, self.columns]
+        if new:
+            self.seen.appendValue((json.dumps(new),))
 
     def close(self) -> None:
         pass
@@ -110,9 +124,13 @@ def each_once(rows: DataFrame, key: str, out: str, live_ms: int, watch: list | N
     ship(spark)
     # Without data the time to live gives no reason for a micro-batch; else there would always be another one.
     with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__noDataMicroBatches__enabled="false"):
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        # Numbers go to Python as text: pandas makes doubles of longs among which one is null.
+        types = {f"c{i}": (f.name, f.dataType, "string" if isinstance(f.dataType, NumericType) else f.dataType.simpleString()) for i, f in enumerate(rows.schema)}
+        sent = rows.toDF(*types).select(*(F.col(c).cast(t) for c, (_, _, t) in types.items()), F.coalesce(F.concat(F.lit("="), F.col(f"c{rows.columns.index(key)}").cast("string")), F.lit("")).alias("key"))
         # Never null: a null among the grouping keys loses other keys' rows on the way to Python.
-        first = rows.withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))).groupBy("__key").transformWithStateInPandas(FirstSeen(rows.columns, live_ms), ddl, "Append", "ProcessingTime")
+        grouped = sent.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS)).cast("int")).groupBy("group")
+        passed = grouped.transformWithStateInPandas(FirstSeen(list(types), live_ms), ", ".join(f"{c} {t}" for c, (_, _, t) in types.items()), "Append", "ProcessingTime")
+        first = passed.select(*(F.col(c).cast(of).alias(name) for c, (name, of, _) in types.items()))
         query = first.writeStream.foreachBatch(lambda batch, number: once(batch, number, key, out)).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     if watch is not None:

@@ -81,6 +81,21 @@ def test_keys_come_once_with_state_that_ends(spark, tmp_path):
     assert max(sizes[1:]) <= 2 * sizes[0]  # five times the keys, the same state
 
 
+def test_guard_state_goes_by_groups_of_keys_and_ends(spark, tmp_path, monkeypatch):
+    """Keys that are sent again get past the state only once the time to live has ended; the state has rows for groups, and longs beside nulls stay exact."""
+    monkeypatch.setattr(guard, "GROUPS", 8)
+    big, whole, passed, watch = (1 << 60) + 1, guard.once, [], []
+    monkeypatch.setattr(guard, "once", lambda batch, number, *more: (passed.append(batch.count()), whole(batch, number, *more)))
+    for live in (3_600_000, 1):
+        out, at = f"file://{tmp_path}/out{live}", f"file://{tmp_path}/in{live}"
+        for _ in range(2):
+            spark.range(1, 2001).selectExpr("nullif(id, 7) as id", f"if(id % 2 = 0, {big} + id, null) as n").coalesce(1).write.mode("append").parquet(at)
+            got = guard.each_once(spark.readStream.schema("id long, n long").parquet(at), "id", out, live, watch).collect()
+            assert sorted((r["id"] or 7, r["n"] or 0) for r in got) == [(i, big + i if i % 2 == 0 else 0) for i in range(1, 2001)]
+    assert passed == [2000, 0, 2000, 2000]
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in watch if p["stateOperators"]) < 200  # before, one row or more for each of 2,000 keys
+
+
 def test_a_repeated_batch_gives_the_same(spark, tmp_path):
     batch = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
     out = f"file://{tmp_path}"
