@@ -1,6 +1,10 @@
 """The streams against their batch forms."""
 
+import random
+from types import SimpleNamespace
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +13,7 @@ from tanpura import session
 from tanpura.operators import notifications as N
 from tanpura.operators import sessions as S
 from tanpura.sources import tables
-from tanpura.streaming import guard, jobs
+from tanpura.streaming import guard, jobs, ordered
 
 
 def test_expired_notifications(spark, small):
@@ -121,3 +125,95 @@ def test_settings_are_put_back(spark):
         assert (spark.conf.get(key), spark.conf.get("spark.made.up")) == (jobs.ROCKSDB, "x")
         1 / 0
     assert spark.conf.get(key) == before and spark.conf.get("spark.made.up", None) is None
+
+
+class Held:
+    """A value or list of a state, in memory."""
+
+    def __init__(self, empty):
+        self.clear = lambda: setattr(self, "held", empty)
+        self.clear()
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    put = update
+
+    def appendList(self, values):
+        self.held = [*self.held, *values]
+
+    def appendValue(self, value):
+        self.appendList([value])
+
+
+def by_group(processor, batches):
+    """What a group's processor gives for batches of rows, each with the watermark that follows it."""
+    timers, got = set(), []
+    processor.init(SimpleNamespace(getListState=lambda *_: Held([]), getValueState=lambda *_: Held(None), registerTimer=timers.add, deleteTimer=timers.discard))
+    take = lambda parts: got.extend(r for part in parts for r in part.itertuples(index=False, name=None))
+    for rows, watermark in batches:
+        part = pd.DataFrame([(k or 0, k is None, us, i, False, what) for k, us, i, what in rows], columns=["key", "no_key", "us", "id", "no_id", "what"])
+        take(processor.handleInputRows((0,), iter([part[:5], part[5:]]), None))
+        for ms in sorted(t for t in timers if t <= watermark):
+            timers.discard(ms)
+            take(processor.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda w=watermark: w), None))
+    return got
+
+
+def by_key(processor, batches):
+    """The same with all that was ever known of a key."""
+    passed, kept, waiting, got = {}, {}, [], []
+    for rows, watermark in batches:
+        for k, *row in rows:
+            if k in passed and tuple(row[:2]) < passed[k]:
+                got.append((*processor.late_row(k, row), True))
+            else:
+                waiting.append((k, *row))
+        until = 1000 * watermark
+        for k in {r[0] for r in waiting} | set(kept):
+            ready = sorted(r[1:] for r in waiting if r[0] == k and r[1] < until)
+            made, kept[k] = processor.fold(k, kept.get(k), ready, until)
+            got += [(*r, False) for r in made]
+            if ready:
+                passed[k] = ready[-1][:2]
+        waiting = [r for r in waiting if r[1] >= until]
+    return got
+
+
+FOLDS = {"pending": (ordered.Pending(30_000), ["=1", "=", ""])}
+
+
+@pytest.mark.parametrize("name", FOLDS)
+def test_groups_of_keys_give_what_keys_give(monkeypatch, name):
+    """Random rows, some far too late, with what is put away written anew often."""
+    monkeypatch.setattr(ordered, "ADDITIONS", 2)
+    monkeypatch.setattr(ordered, "PIECE", 3)
+    processor, whats = FOLDS[name]
+    for seed in range(40):
+        draw, batches = random.Random(seed), []
+        for n in range(12):
+            behind = lambda: draw.choice((5, 20, 20, 20, 120))
+            rows = [(draw.choice((None, *range(6))), 1000 * max(1, 20 * n + 20 - draw.randrange(behind())) + draw.randrange(3), draw.randrange(50), draw.choice(whats)) for _ in range(draw.randrange(1, 15))]
+            batches.append((rows, max(0, 20 * n - 10)))
+        batches.append(([(9, 9_000_000, 1, whats[0])], 8_000))
+        want = sorted(by_key(processor, batches), key=str)
+        assert sorted(by_group(processor, batches), key=str) == want and any(r[-1] for r in want) and not all(r[-1] for r in want)
+
+
+@pytest.mark.parametrize("name", FOLDS)
+def test_fold_state_goes_by_groups_of_keys(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(ordered, "GROUPS", 8, raising=False)
+    processor, whats = FOLDS[name]
+    spark.range(2000).selectExpr("id", "timestamp_seconds(id) as at").write.parquet(f"file://{tmp_path}/in")
+    log = spark.readStream.schema("id long, at timestamp").parquet(f"file://{tmp_path}/in")
+    with session.settings(spark, spark__sql__streaming__stateStore__providerClass=jobs.ROCKSDB):
+        made = ordered.in_order(log, "id", "at", F.lit(whats[0]), "id", processor, "1 day", F.expr(jobs.END))
+        query = made.writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) < 200  # before, one row or more for each of 2,000 keys
