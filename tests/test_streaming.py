@@ -186,7 +186,7 @@ def by_key(processor, batches):
     return got
 
 
-FOLDS = {"pending": (ordered.Pending(30_000), ["=1", "=", ""])}
+FOLDS = {"pending": (ordered.Pending(30_000), ["=1", "=", ""]), "expiry": (ordered.Expiry(15), ["ADD", "ADD", "DISMISS"])}
 
 
 @pytest.mark.parametrize("name", FOLDS)
